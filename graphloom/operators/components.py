@@ -1,0 +1,39 @@
+"""Connected components of a bipartite record-value graph by minimum labels."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..staging import Stage
+
+
+def components(incidence: DataFrame, stage: Stage, record: str = "rec", value: str = "val", max_rounds: int = 60) -> DataFrame:
+    """(val, label): every value with the smallest value of its component.
+
+    One round passes the smallest label of a record's values to the record, the
+    smallest of a value's records back to the value, and then lets every label
+    jump to the label of the value it names, which halves the longest way left.
+    All three are map-side combined minima, so a value shared by a third of all
+    records sends one row per task. Rounds are cut by a staged table; they end
+    when a round changes no label. Records without values play no part.
+    """
+    links = stage.put(incidence.select(F.col(record).alias("rec"), F.col(value).alias("val")).where("rec IS NOT NULL AND val IS NOT NULL").distinct())
+    labels = stage.put(links.groupBy("rec").agg(F.min("val").alias("label")).join(links, "rec").groupBy("val").agg(F.min("label").alias("label")))
+    before = None
+    for _ in range(max_rounds):
+        mark = labels.agg(F.bit_xor(F.xxhash64("val", "label")), F.count("*")).first()
+        if tuple(mark) == before:
+            break
+        before = tuple(mark)
+        to_record = links.join(labels, "val").groupBy("rec").agg(F.min("label").alias("label"))
+        to_value = links.join(to_record, "rec").groupBy("val").agg(F.min("label").alias("label"))
+        nearer = stage.put(to_value)
+        named = nearer.select(F.col("val").alias("label"), F.col("label").alias("further"))
+        jumped = stage.put(nearer.join(named, "label", "left").select("val", F.least("label", F.coalesce("further", "label")).alias("label")))
+        stage.drop(nearer)
+        stage.drop(labels)
+        labels = jumped
+    else:
+        raise RuntimeError(f"labels still change after {max_rounds} rounds")
+    return labels
