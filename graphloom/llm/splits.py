@@ -56,11 +56,12 @@ def groups(spark: SparkSession, instructions: DataFrame, sample_meta: DataFrame,
 def place(counts: np.ndarray, shares: np.ndarray) -> np.ndarray:
     """The split of each item, largest items first; ``counts`` (items, levels).
 
-    Each item goes where the sum of squared gaps to the wanted size and level counts becomes least.
+    Each item goes where the squared gaps to the wanted size and level counts, each over the wanted count, become least;
+    so a group too large for a small split goes to the large one.
     """
     total = counts.sum(0)
     want = np.outer(shares, np.append(total, total.sum()))
-    have, scale = np.zeros_like(want), 1.0 / np.maximum(want, 1.0)
+    have, scale = np.zeros_like(want), 1.0 / np.sqrt(np.maximum(want, 1.0))
     out = np.zeros(len(counts), int)
     for i in np.argsort(-counts.sum(1), kind="stable"):
         item = np.append(counts[i], counts[i].sum())
