@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import neardup, sampling, splits
+from . import leaks, neardup, packing, pairs, reading, sampling, splits
 
-_MODULES = (sampling, splits, neardup)
+_MODULES = (sampling, splits, pairs, neardup, packing, leaks, reading)
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 for _m in _MODULES:
