@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .scoring import clamp, first_number, json_of, token_estimate
 
@@ -37,7 +38,7 @@ def xml_tokens(xml: Column) -> Column:
     return F.concat(tags, text)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def tree_sequence(texts: pd.Series) -> pd.Series:
     """Elements in document order: each tag, its attributes as ``k=v`` by name, then its children. NULL if not well-formed."""
 
@@ -53,20 +54,29 @@ def tree_sequence(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
-def edit_distance(a: Column, b: Column, mode: str = "tree") -> Column:
-    """Distance over the longer length, 0 for two empty texts; tree mode falls back to tokens if either text is not well-formed."""
+def _share(distance: Column, a: Column, b: Column) -> Column:
+    return F.coalesce(F.try_divide(distance.cast("double"), F.greatest(a, b)), F.lit(0.0))
 
-    def share(distance: Column, na: Column, nb: Column) -> Column:
-        return F.coalesce(F.try_divide(distance.cast("double"), F.greatest(na, nb)), F.lit(0.0))
 
+def _sequence_share(a: Column, b: Column) -> Column:
+    return _share(sequence_distance(a, b), F.size(a), F.size(b))
+
+
+def edit_distance(a: Column, b: Column, mode: str = "token") -> Column:
+    """Distance in tokens or characters over the longer length, 0 for two empty texts."""
     if mode == "character":
-        return share(F.levenshtein(a, b), F.length(a), F.length(b))
-    ta, tb = xml_tokens(a), xml_tokens(b)
-    by_token = share(sequence_distance(ta, tb), F.size(ta), F.size(tb))
-    if mode == "token":
-        return by_token
-    sa, sb = tree_sequence(a), tree_sequence(b)
-    return F.when(sa.isNotNull() & sb.isNotNull(), share(sequence_distance(sa, sb), F.size(sa), F.size(sb))).otherwise(by_token)
+        return _share(F.levenshtein(a, b), F.length(a), F.length(b))
+    return _sequence_share(xml_tokens(a), xml_tokens(b))
+
+
+def with_tree_distance(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """The distance of the trees as column ``name``; by tokens if either text is not well-formed.
+
+    The sequences get columns of their own first, since no Python stage may stand inside a lambda.
+    """
+    rows = df.withColumns({"_sa": tree_sequence(a), "_sb": tree_sequence(b)})
+    both = F.col("_sa").isNotNull() & F.col("_sb").isNotNull()
+    return rows.withColumn(name, F.when(both, _sequence_share(F.col("_sa"), F.col("_sb"))).otherwise(edit_distance(F.col(a), F.col(b)))).drop("_sa", "_sb")
 
 
 # --- geometry ---------------------------------------------------------------
@@ -184,7 +194,7 @@ def answer_is_correct(answer: str | None, truth: str | None, kind: str | None) -
     return bool(words[1]) and words[1] <= words[0]
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def answer_correct(answers: pd.Series, truths: pd.Series, kinds: pd.Series) -> pd.Series:
     return pd.Series([answer_is_correct(a, t, k) for a, t, k in zip(answers, truths, kinds)])
 
@@ -250,12 +260,15 @@ def edit_precision(instruction: Column, before: Column, after: Column) -> Column
 
 # --- XML --------------------------------------------------------------------
 
-XML_FACTS = "valid boolean, well_formed boolean, errors array<string>, elements int, nodes int, edges int"
+XML_FACTS = T.StructType([
+    T.StructField("valid", T.BooleanType()), T.StructField("well_formed", T.BooleanType()), T.StructField("errors", T.ArrayType(T.StringType())),
+    T.StructField("elements", T.IntegerType()), T.StructField("nodes", T.IntegerType()), T.StructField("edges", T.IntegerType()),
+])
 #: Tags that a diagram needs.
 REQUIRED_TAGS = ("mxGraphModel", "root", "mxCell")
 
 
-@F.pandas_udf(f"struct<{XML_FACTS.replace(' ', ':').replace(',:', ',')}>")
+@F.pandas_udf(XML_FACTS)
 def xml_facts(texts: pd.Series) -> pd.DataFrame:
     """Validity with the list of errors, and counts; an XML that cannot be read has zeros. NULL counts as empty."""
 
@@ -284,7 +297,7 @@ def patch_exact(xml: Column, changes: Column) -> Column:
     ).otherwise(text))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def patch(xmls: pd.Series, changes: pd.Series) -> pd.Series:
     """As ``patch_exact``; a fragment that is not found is tried once more with any white space between its words."""
 

@@ -35,7 +35,7 @@ def safe_file_name(name: Column, longest: int = 200) -> Column:
 def human_size(size: Column) -> Column:
     """Bytes with a unit and one decimal, in steps of 1,024."""
     units = ("B", "KB", "MB", "GB", "TB", "PB")
-    text = [F.format_string(f"%.1f {unit}", size.cast("double") / float(1024**k)) for k, unit in enumerate(units)]
+    text = [F.format_string(f"%.1f {unit}", F.bround(size.cast("double") / float(1024**k), 1)) for k, unit in enumerate(units)]
     out = F.when(size < 1024, text[0])
     for k in range(1, len(units) - 1):
         out = out.when(size < 1024 ** (k + 1), text[k])

@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values.
 MODEL_FAMILIES = (("gpt", "GPT"), ("claude", "Claude"), ("gemini", "Gemini"), ("qwen", "Qwen"))
@@ -179,7 +180,7 @@ def render(template: Column, **values: Column) -> Column:
     return template
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_json(texts: pd.Series) -> pd.Series:
     """JSON with ``", "`` and ``": "`` between parts and letters as they are; a text that is no JSON unchanged."""
 
@@ -197,7 +198,7 @@ def clamp(score: Column) -> Column:
 
 
 def data_url(content: Column) -> Column:
-    return F.concat(F.lit("data:image/png;base64,"), F.base64(content))
+    return F.concat(F.lit("data:image/png;base64,"), F.regexp_replace(F.base64(content), r"\s", ""))
 
 
 def clean_questions(questions: Column, default: str) -> Column:
