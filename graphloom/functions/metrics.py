@@ -122,8 +122,9 @@ def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
             better = free & (reach < slack[1:])
             slack[1:][better] = reach[better]
             back[1:][better] = j0
-            j1 = int(np.argmin(np.where(free, slack[1:], np.inf))) + 1
-            step = slack[j1]
+            open_ = np.where(free, slack[1:], np.inf)
+            j1 = int(np.argmin(open_)) + 1
+            step = open_[j1 - 1]
             if not np.isfinite(step):
                 raise ValueError("no assignment is feasible")
             u[owner[used]] += step

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.metrics import assignment, greedy_matches
 
@@ -48,29 +49,38 @@ def best_names(left: DataFrame, right: DataFrame) -> DataFrame:
     return pairs.withColumn("_n", rank).where("_n = 1").select("name_l", "name_r")
 
 
+def _solve(left: np.ndarray, right: np.ndarray, costs: np.ndarray, below: float) -> list[tuple[int, int, float]]:
+    rows, i = np.unique(left, return_inverse=True)
+    columns, j = np.unique(right, return_inverse=True)
+    table = np.full((len(rows), len(columns)), np.inf)
+    np.minimum.at(table, (i, j), costs)
+    try:
+        pairs = assignment(table)
+    except ValueError:
+        return []
+    return [(int(rows[a]), int(columns[b]), float(table[a, b])) for a, b in pairs if table[a, b] < below]
+
+
 def optimal_pairs(costs: DataFrame, group: str, below: float = 0.5) -> DataFrame:
     """costs (group, left_id, right_id, cost) to the pairs of a cheapest assignment per group with cost below the bound.
 
-    A group whose only assignments are infinite gives no rows. Groups are single records with few boxes each.
+    A group whose only assignments are infinite gives no rows. A group is one
+    record with few boxes, so its costs fit a row; NULL costs count as infinite.
     """
+    found = T.ArrayType(T.StructType([T.StructField("left_id", T.LongType()), T.StructField("right_id", T.LongType()), T.StructField("cost", T.DoubleType())]))
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        table = pdf.pivot_table(index="left_id", columns="right_id", values="cost", aggfunc="min").sort_index().sort_index(axis=1)
-        cost = table.fillna(np.inf).to_numpy()
-        try:
-            pairs = assignment(cost)
-        except ValueError:
-            pairs = []
-        rows = [(pdf[group].iloc[0], int(table.index[i]), int(table.columns[j]), float(cost[i, j])) for i, j in pairs if cost[i, j] < below]
-        return pd.DataFrame(rows, columns=[group, "left_id", "right_id", "cost"])
+    @F.pandas_udf(found)
+    def solve(left: pd.Series, right: pd.Series, cost: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(("left_id", "right_id", "cost"), p)) for p in _solve(np.asarray(a), np.asarray(b), np.asarray(c, float), below)] for a, b, c in zip(left, right, cost)])
 
-    return costs.groupBy(group).applyInPandas(solve, f"{group} bigint, left_id bigint, right_id bigint, cost double")
+    listed = costs.groupBy(group).agg(F.collect_list(F.struct("left_id", "right_id", F.coalesce("cost", F.lit(float("inf"))).alias("cost"))).alias("l"))
+    return listed.select(group, solve("l.left_id", "l.right_id", "l.cost").alias("p")).select(group, F.inline("p"))
 
 
 def greedy_pairs(df: DataFrame, key: str, left: str, right: str) -> DataFrame:
     """(key, matched, of): how many left texts of a row find a right one, first fit in order. Arrays of a row only."""
 
-    @F.pandas_udf("int")
+    @F.pandas_udf(T.IntegerType())
     def matched(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([len(greedy_matches([x for x in p if x is not None], [x for x in q if x is not None])) if p is not None and q is not None else 0 for p, q in zip(a, b)])
 

@@ -30,7 +30,7 @@ def wide(t: Tables):
 
 def six_sql(c: str, digits: int = 6) -> str:
     """The SQL of ``six_numbers``."""
-    calls = {"mean": "avg({})", "median": "quantile_cont({}, 0.5)", "std": "stddev_samp({})", "min": "min({})", "max": "max({})"}
+    calls = {"mean": "avg({})", "median": "quantile_cont({}, 0.5)", "std": "stddev_samp({})", "min": "min({})::DOUBLE", "max": "max({})::DOUBLE"}
     return ", ".join([f"round({f.format(c)}, {digits}) AS {c}_{k}" for k, f in calls.items()] + [f"count({c}) AS {c}_count"])
 
 
