@@ -147,7 +147,9 @@ def json_of(text: Column) -> Column:
     """A JSON object in noisy text as a variant: the text itself, a fenced block, or the widest ``{...}``."""
     fenced = F.nullif(F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1), F.lit(""))
     widest = F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit(""))
-    return F.coalesce(F.try_parse_json(text), F.try_parse_json(fenced), F.try_parse_json(widest))
+    # The parser accepts a text that merely begins with a number, so a document must begin with a bracket.
+    begun = [F.when(c.rlike(r"^\s*[\[{]"), c) for c in (text, fenced, widest)]
+    return F.coalesce(*[F.try_parse_json(c) for c in begun])
 
 
 CHANGE = "array<struct<original_fragment:string,modified_fragment:string>>"

@@ -32,9 +32,10 @@ def merge_stream(spark: SparkSession, folder: str, glob: str, schema: StructType
     return latest(written, keys, order, payload)
 
 
-def counts_by_window(stream: DataFrame, time: str, by: str, width: str = "5 minutes", lateness: str = "10 minutes") -> DataFrame:
-    """Counts per key and time window with a watermark, for streaming or batch frames."""
-    return stream.withWatermark(time, lateness).groupBy(F.window(time, width), by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), by, "n")
+def counts_by_window(stream: DataFrame, time: str, by: str, width: str = "5 minutes", lateness: str | None = "10 minutes") -> DataFrame:
+    """Counts per key and time window, for streaming or batch frames; without ``lateness`` an earlier watermark holds."""
+    rows = stream.withWatermark(time, lateness) if lateness else stream
+    return rows.groupBy(F.window(time, width), by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), by, "n")
 
 
 def without_repeats(stream: DataFrame, keys: list[str], time: str, lateness: str = "1 hour") -> DataFrame:
