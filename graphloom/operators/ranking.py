@@ -69,6 +69,11 @@ def stratified_sample(df: DataFrame, stratum: str, key: str, n: int, seed: str =
     s = s.withColumn("more", F.least("cap_upto", "open") - F.least(F.col("cap_upto") - F.col("cap"), F.col("open")))
     take = F.when(is_other, F.col("alloc") + F.col("more")).otherwise(F.col("size"))
     quota = s.select(stratum, take.cast("bigint").alias("take"))
-    h = F.md5(F.concat(F.lit(seed), F.col(key).cast("string")))
-    rank = F.row_number().over(Window.partitionBy(stratum).orderBy("_h", key))
-    return df.join(F.broadcast(quota), stratum).withColumn("_h", h).withColumn("_n", rank).where("_n <= take").drop("_h", "_n", "take")
+    # Rows are ranked by their hash. Counts per range of the hash tell in which range a quota ends; only that range is sorted.
+    rows = df.join(F.broadcast(quota), stratum).withColumn("_h", F.md5(F.concat(F.lit(seed), F.col(key).cast("string")))).withColumn("_r", F.substring("_h", 1, 2))
+    per = rows.groupBy(stratum, "_r", "take").agg(F.count("*").alias("_n"))
+    per = per.withColumn("_b", F.sum("_n").over(Window.partitionBy(stratum).orderBy("_r")) - F.col("_n")).where("_b < take").drop("take")
+    kept = rows.join(F.broadcast(per), [stratum, "_r"])
+    rank = F.row_number().over(Window.partitionBy(stratum, "_r").orderBy("_h", key))
+    edge = kept.where("_b + _n > take").withColumn("_k", rank).where("_b + _k <= take").drop("_k")
+    return kept.where("_b + _n <= take").unionByName(edge).select(*df.columns)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -32,7 +32,8 @@ def dimension_stats(df: DataFrame, dimensions: list[str], digits: int = 2) -> Da
 def shares(df: DataFrame, by: str) -> DataFrame:
     """Value counts with percentages of all known values."""
     counted = df.where(F.col(by).isNotNull()).groupBy(by).agg(F.count("*").alias("n"))
-    return counted.withColumn("percent", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()))
+    total = F.broadcast(df.agg(F.count(by).alias("_total")))  # one row
+    return counted.crossJoin(total).select(by, "n", (F.col("n") * 100.0 / F.col("_total")).alias("percent"))
 
 
 def cross_tab(df: DataFrame, by: str, over: str, values: list[str]) -> DataFrame:
