@@ -19,7 +19,10 @@ from .text_queries import DOMAIN
 
 C = Catalogue()
 q = C.query
-KEY = [folded(F.col("domain")).alias("domain"), F.col("sample_id")]
+
+
+def _key():
+    return [folded(F.col("domain")).alias("domain"), F.col("sample_id")]
 
 
 def _folder(t: Tables, name: str) -> str:
@@ -27,7 +30,7 @@ def _folder(t: Tables, name: str) -> str:
 
 
 def _diagrams(t: Tables):
-    return t.diagrams.select(*KEY, "diagram_id", "model_used", "is_valid", "xml_content").distinct()
+    return t.diagrams.select(*_key(), "diagram_id", "model_used", "is_valid", "xml_content").distinct()
 
 
 @q("batches_S2", f"SELECT DISTINCT {DOMAIN} AS batch FROM diagrams")
@@ -53,7 +56,7 @@ k AS (SELECT * FROM s UNION SELECT * FROM d UNION SELECT * FROM e)
 SELECT k.domain, k.sample_id, s.sample_id IS NOT NULL AS has_metadata, d.sample_id IS NOT NULL AS has_diagram, e.sample_id IS NOT NULL AS has_description FROM k LEFT JOIN s USING (domain, sample_id) LEFT JOIN d USING (domain, sample_id) LEFT JOIN e USING (domain, sample_id)""")
 def _(t: Tables):
     """A result put together from optional parts; what was there is a flag."""
-    parts = {n: df.select(*KEY).distinct() for n, df in (("metadata", t.sample_meta), ("diagram", t.diagrams), ("description", t.descriptions))}
+    parts = {n: df.select(*_key()).distinct() for n, df in (("metadata", t.sample_meta), ("diagram", t.diagrams), ("description", t.descriptions))}
     return readers.load_results(parts, ["domain", "sample_id"])
 
 
@@ -85,7 +88,7 @@ def _(t: Tables):
 SELECT domain, sample_id, xml_length FROM s LEFT JOIN x USING (domain, sample_id)""")
 def _(t: Tables):
     """A missing file is NULL."""
-    return t.sample_meta.select(*KEY).distinct().join(_diagrams(t).select("domain", "sample_id", F.length("xml_content").alias("xml_length")), ["domain", "sample_id"], "left")
+    return t.sample_meta.select(*_key()).distinct().join(_diagrams(t).select("domain", "sample_id", F.length("xml_content").alias("xml_length")), ["domain", "sample_id"], "left")
 
 
 @q("detail_to_fragments_S19", "SELECT event_id, event_type FROM events")

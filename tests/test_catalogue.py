@@ -44,3 +44,12 @@ def test_same_rows_as_sql(spark, con, name):
 def test_runs(spark, name):
     q = catalogue.QUERIES.get(name) or problems.QUERIES[name]
     assert q(spark, DATA).count() > 0
+
+
+def test_names_are_there_without_a_session():
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=root, capture_output=True, text=True, check=True)
+    assert int(said.stdout.split()[0]) >= len(catalogue.QUERIES)
