@@ -214,4 +214,12 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p8_found": p8_found, "p8_matches": p8_matches, "p8_clean": p8_clean, "p8_items": p8_items}
-SQL: dict[str, str] = {}
+#: All windows of 13 words of both sides, joined.
+SQL = {
+    "p8_found": r"""
+WITH d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+e AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items),
+dg AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 12], ' ') AS g FROM d, unnest(range(1, len(w) - 11)) AS t(i)),
+eg AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 12], ' ') AS g FROM e, unnest(range(1, len(w) - 11)) AS t(i))
+SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)"""
+}

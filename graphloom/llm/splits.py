@@ -122,4 +122,17 @@ def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_split": p2_split, "p2_report": p2_report}
-SQL: dict[str, str] = {}
+#: Reachability over values and their minimum; quadratic in the largest group, so for small tables only.
+SQL = {
+    "p2_found": r"""
+WITH RECURSIVE i AS (
+  SELECT DISTINCT instruction_key, lower(trim(domain, E' \t\n\r')) || '/' || lower(trim(sample_id, E' \t\n\r')) AS s, lower(trim(author, E' \t\n\r')) AS a FROM instructions),
+m AS (
+  SELECT DISTINCT lower(trim(domain, E' \t\n\r')) || '/' || lower(trim(sample_id, E' \t\n\r')) AS s, lower(trim(paper_id, E' \t\n\r')) AS v FROM sample_meta),
+e AS (
+  SELECT s AS u, a AS v FROM i WHERE a NOT IN ('', 'unknown', 'none', 'n/a', 'anonymous')
+  UNION SELECT s, v FROM m WHERE v NOT IN ('', 'unknown', 'none', 'n/a', 'anonymous') AND s IN (SELECT s FROM i)),
+b AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+r(x, y) AS (SELECT DISTINCT s, s FROM i UNION SELECT r.x, b.v FROM r JOIN b ON r.y = b.u)
+SELECT instruction_key, min(y) AS group_key FROM i JOIN r ON r.x = i.s GROUP BY instruction_key"""
+}
