@@ -3,9 +3,9 @@
 Each task cuts its documents into shards of a bounded number of words and builds
 a suffix array over the words of a shard, sorted by their first 16 words
 (prefix doubling: four sorts). Every suffix of every item is then found by
-binary search, all suffixes at once. A run of at least ``min_words`` equal words
-is a leak; each hit is extended to the longest verbatim match and keeps its
-place in the document and in the item.
+binary search, all at once, suffixes with equal first words together. A run of
+at least ``min_words`` equal words is a leak; for each leak the longest verbatim
+match and its place in the document and in the item are found by bisection.
 
 The items are the stated query set; they are sent to the tasks in blocks of a
 bounded number of words, and each block is held against all documents. The
@@ -80,57 +80,82 @@ def search(sequence: np.ndarray, suffixes: np.ndarray, queries: np.ndarray) -> t
     return bound(False), bound(True)
 
 
+class _Runs:
+    """64-bit hashes of the runs of a sequence; equal runs of two sequences with the same ``longest`` have equal hashes."""
+
+    def __init__(self, values: np.ndarray, longest: int):
+        self.n, self.longest = len(values), longest
+        self.power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(longest, 0x9E3779B97F4A7C15, np.uint64)]))
+        terms = (values.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9) * self.power[: self.n]
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms)])
+
+    def of(self, width: int) -> np.ndarray:
+        starts = np.arange(self.n - width + 1)
+        return (self.sums[width:] - self.sums[: self.n - width + 1]) * self.power[self.longest - starts]
+
+
+def longest_match(document: np.ndarray, item: np.ndarray, least: int) -> tuple[int, int, int]:
+    """(length, place in the document, place in the item) of the longest common run; one of ``least`` is known to exist.
+
+    By bisection of the length, so a text that repeats itself costs no more than any other.
+    """
+    longest = max(len(document), len(item))
+    there, here = _Runs(document, longest), _Runs(item, longest)
+    low, high = least, min(len(document), len(item)) + 1
+    while high - low > 1:
+        middle = (low + high) // 2
+        if len(np.intersect1d(there.of(middle), here.of(middle))):
+            low = middle
+        else:
+            high = middle
+    a, b = there.of(low), here.of(low)
+    at = int(np.argmax(np.isin(a, b)))
+    return low, at, int(np.argmax(b == a[at]))
+
+
 def leaks_of_shard(docs: list[tuple[int, list[str]]], items: list[tuple[int, list[str]]], min_words: int) -> list[tuple[int, int, int, int, int]]:
     """(doc, item, longest match in words, word position in the document, in the item), one row per pair."""
-    wanted = {w for _, ws in items for w in ws}
     ids: dict[str, int] = {}
-    code, owner, starts = [], [], []
+    code, ends, lines = [], [], []
     for n, (_, ws) in enumerate(docs):
-        starts.append(len(code))
         code.extend([ids.setdefault(w, len(ids)) for w in ws])
-        owner.append(len(code))
+        ends.append(len(code))
         code.append(-1 - n)  # ends the document; differs from every word and every other end
     base = np.array(code, np.int64)
+    if len(base) <= min_words:
+        return []
     sequence = np.concatenate([np.where(base < 0, len(ids) - 1 - base, base), np.full(1, len(ids) + len(docs) + 1)])
-    grams, places = [], []
+    grams: dict[tuple[int, ...], set[int]] = {}  # every suffix by its first words, which are looked up once
     for n, (_, ws) in enumerate(items):
         line = [ids.get(w, -1) for w in ws]
+        lines.append(line)
         gap = -1
         for i, c in enumerate(line):
             gap = i if c < 0 else gap
             if i - gap >= min_words:
-                grams.append(line[i - min_words + 1 : i + 1])
-                places.append((n, i - min_words + 1))
-    if not grams or len(base) < min_words or not wanted:
+                grams.setdefault(tuple(line[i - min_words + 1 : i + 1]), set()).add(n)
+    if not grams:
         return []
     depth = 1
     while depth < min_words:
         depth *= 2
     suffixes = suffix_array(sequence[:-1], depth)
     padded = np.concatenate([sequence, np.full(min_words, sequence[-1])])
-    low, high = search(padded, suffixes, np.array(grams, np.int64))
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    ends, first = np.array(owner), np.array(starts)
-    lines = [np.array([ids.get(w, -1) for w in ws], np.int64) for _, ws in items]
-    for q in np.nonzero(high > low)[0]:
-        n, at = places[q]
-        line = lines[n]
-        hits = suffixes[low[q] : high[q]]
-        length = np.full(len(hits), min_words)
-        growing = np.arange(len(hits))
-        while len(growing):
-            there = length[growing]
-            inside = at + there < len(line)
-            growing, there = growing[inside], there[inside]
-            same = padded[np.minimum(hits[growing] + there, len(padded) - 1)] == line[np.minimum(at + there, len(line) - 1)]
-            growing = growing[same]
-            length[growing] += 1
-        document = np.searchsorted(ends, hits, side="left")
-        for d, k, h in zip(document.tolist(), length.tolist(), hits.tolist()):
-            row = (k, -(h - int(first[d])), -at)
-            if row > best.get((d, n), (0, 0, 0)):
-                best[d, n] = row
-    return [(docs[d][0], items[n][0], k, -p, -a) for (d, n), (k, p, a) in best.items()]
+    low, high = search(padded, suffixes, np.array(list(grams), np.int64))
+    places = np.array(ends)
+    pairs = {
+        (d, n)
+        for l, h, owners in zip(low.tolist(), high.tolist(), grams.values()) if h > l
+        for d in np.unique(np.searchsorted(places, suffixes[l:h])).tolist()
+        for n in owners
+    }
+    out = []
+    for d, n in pairs:
+        start = ends[d - 1] + 1 if d else 0
+        line = np.array(lines[n], np.int64)
+        line[line < 0] = len(ids) + np.arange((line < 0).sum())  # unknown words match nothing
+        out.append((docs[d][0], items[n][0], *longest_match(base[start : ends[d]], line, min_words)))
+    return out
 
 
 _DDL = "doc_id bigint, item_id bigint, words int, doc_word int, item_word int"
