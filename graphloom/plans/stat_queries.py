@@ -45,7 +45,7 @@ def _(t: Tables):
 
 @q("stats_nullsafe_by_model", f"WITH {WIDE} SELECT model, {six_sql('generation_time')}, count(*) AS valid_samples_count FROM wide WHERE model IS NOT NULL GROUP BY model")
 def _(t: Tables):
-    """A5: unrounded in the reference; six decimals here so that two engines can be compared."""
+    """A5: rounded to six decimals, so that two engines can be compared."""
     return stats.summary(wide(t), ["model"], ["generation_time"], 6, "valid_samples_count")
 
 
