@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import importlib.util
+import os
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -29,25 +34,20 @@ def _(t: Tables):
 @q("token_count_exact")
 def _(t: Tables):
     """The tokens of the same texts by a public tokenizer where it is installed, else the estimate."""
-    import importlib.util
-    import os
-
     path = os.environ.get("GRAPHLOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
     if importlib.util.find_spec("tokenizers") is None or not os.path.exists(path):
         return t.instructions.select("instruction_key", sc.token_estimate(F.col("instruction")).alias("tokens")).distinct()
 
     @F.pandas_udf("int")
-    def exact(batches):
-        import pandas as pd
+    def exact(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         from tokenizers import Tokenizer
 
         own = Tokenizer.from_file(path)
         own.encode_special_tokens = True
         for texts in batches:
-            known = texts.fillna("")
-            yield pd.Series([len(e.ids) for e in own.encode_batch(known.tolist(), add_special_tokens=False)]).where(texts.notna().to_numpy())
+            encoded = own.encode_batch(texts.fillna("").tolist(), add_special_tokens=False)
+            yield pd.Series([len(e.ids) for e in encoded]).where(texts.notna().to_numpy())
 
-    exact = F.pandas_udf(exact.func, "int", F.PandasUDFType.SCALAR_ITER)
     return t.instructions.select("instruction_key", "instruction").distinct().select("instruction_key", exact("instruction").alias("tokens"))
 
 
