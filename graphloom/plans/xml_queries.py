@@ -326,10 +326,10 @@ def _(t: Tables):
     return m.join(keep, "domain", "left_semi")
 
 
-@q("chart_data_K14", f"WITH {WIDE} SELECT domain, model, count(*) AS n, round(avg(generation_time), 6) AS mean_time FROM wide GROUP BY ALL")
+@q("chart_data_K14", f"WITH {WIDE} SELECT domain, model, count(*) AS n, round(avg(generation_time), 9) AS mean_time FROM wide GROUP BY ALL")
 def _(t: Tables):
     """What a heat map shows."""
-    return wide(t).groupBy("domain", "model").agg(F.count("*").alias("n"), F.round(F.avg("generation_time"), 6).alias("mean_time"))
+    return wide(t).groupBy("domain", "model").agg(F.count("*").alias("n"), F.round(F.avg("generation_time"), 9).alias("mean_time"))
 
 
 @q("stream_merge", "SELECT event_type, user_id, arg_max(value, (ts, event_id)) AS value, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY ALL")
