@@ -3,10 +3,12 @@
 The categories form a tree: field of the domain, domain, difficulty level,
 operation. The wanted size goes down the tree. At each node the children get
 their target share, but no more than they have; what one cannot take goes to
-its siblings first, in proportion to what they have left. A child that is short
-as a whole has passed its rest to its own siblings one level above already,
-so cousins are reached in the same way. Every quota is thus at most what the
-node has, and each level is a handful of windows over the category table.
+its siblings first, in proportion to their shares. This makes the shares of
+domains right, but a level or an operation that is short under one parent stays
+short. So quota is then handed over between leaves, cousins included: each time
+the move that brings the sums of all categories closest to what is wanted of
+them, until no move helps. The table of leaves depends on the categories alone,
+never on the rows, and this is done on the driver.
 
 A category's weight is its target share, raised to ``min_rows`` of the sample
 size. At a leaf the rows are drawn by their rank in a permuted (hashed) order.
@@ -16,6 +18,10 @@ quota ends is sorted, so a leaf with a third of all rows is no hot task.
 
 from __future__ import annotations
 
+import itertools
+import re
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -61,6 +67,128 @@ def targets_of(sample_targets: DataFrame) -> DataFrame:
     ).where("dim_name IS NOT NULL AND category IS NOT NULL").distinct()
 
 
+def proportional(quota: float, weight: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Parts of ``quota`` in proportion to the weights, each at most its bound; parts without weight get what the others cannot take."""
+    quota = min(quota, float(high.sum()))
+    full = np.where(weight > 0, high, 0.0)
+    if quota >= full.sum():
+        room = high - full
+        return full + room * ((quota - full.sum()) / room.sum() if room.sum() > 0 else 0.0)
+    positive = weight > 0
+    below, above = 0.0, float((high[positive] / weight[positive]).max())
+    for _ in range(200):
+        middle = (below + above) / 2
+        below, above = (middle, above) if np.minimum(middle * weight, high).sum() < quota else (below, middle)
+    return np.minimum(above * weight, high)
+
+
+def whole_parts(parts: np.ndarray, total: int, high: np.ndarray) -> np.ndarray:
+    """Whole numbers with the sum ``total`` by largest remainders, each at most its bound."""
+    out = np.floor(parts + 1e-6).astype(np.int64)
+    for i in np.lexsort((np.arange(len(parts)), -(parts - out).round(6))):
+        if out.sum() >= total:
+            break
+        out[i] += out[i] < high[i]
+    return out
+
+
+def field_of(domain: str) -> str:
+    """The field of a domain: domain_<field>_domain_<name>."""
+    found = re.match(r"domain_(.+?)_domain_", domain, re.DOTALL)
+    return found[1] if found else domain
+
+
+def _top_down(paths: list[tuple], has: np.ndarray, quota: int, weights: list[dict], out: np.ndarray, index: np.ndarray, level: int = 0) -> None:
+    """Share the quota of a node out to its children; ``out`` gets the quotas of the leaves."""
+    if level == len(weights):
+        out[index] = quota
+        return
+    children: dict = {}
+    for i in index:
+        children.setdefault(paths[i][level], []).append(i)
+    high = np.array([has[c].sum() for c in children.values()])
+    weight = np.array([weights[level].get(c, 0.0) for c in children])
+    total = int(min(quota, high.sum()))
+    for child, part in zip(children.values(), whole_parts(proportional(total, weight, high), total, high)):
+        _top_down(paths, has, int(part), weights, out, np.array(child), level + 1)
+
+
+def hand_over(quota: np.ndarray, has: np.ndarray, codes: np.ndarray, wanted: list[np.ndarray]) -> np.ndarray:
+    """Move quota between leaves until no move brings the sums of categories closer to what is wanted.
+
+    ``codes`` has the category of each leaf by dimension. A category costs its
+    squared distance over what is wanted. Of all pairs of leaves the best is
+    taken: for each set of dimensions in which the two may agree, which then
+    cost nothing, the cheapest giver and taker of each group of agreeing leaves.
+    The cost falls with every move, so this ends.
+    """
+    quota, dims = quota.copy(), range(len(wanted))
+    sums = [np.bincount(codes[d], quota, len(wanted[d])) for d in dims]
+
+    def cost(d: int, at: np.ndarray, c: int | slice = slice(None)) -> np.ndarray:
+        return (at - wanted[d][c]) ** 2 / np.maximum(wanted[d][c], 1.0)
+
+    groups = []
+    for agree in itertools.chain.from_iterable(itertools.combinations(dims, n) for n in range(len(wanted))):
+        group = np.unique(codes[list(agree)], axis=1, return_inverse=True)[1].ravel() if agree else np.zeros(len(quota), int)
+        order = np.argsort(group, kind="stable")
+        starts = np.flatnonzero(np.r_[True, np.diff(group[order]) > 0])
+        groups.append(([d for d in dims if d not in agree], order, starts, np.r_[starts[1:], len(order)]))
+
+    while len(quota):
+        now = [cost(d, sums[d]) for d in dims]
+        less = [(cost(d, sums[d] - 1) - now[d])[codes[d]] for d in dims]
+        more = [(cost(d, sums[d] + 1) - now[d])[codes[d]] for d in dims]
+        best = (-1e-7, 0, 0)
+        for differ, order, starts, ends in groups:
+            give = np.where(quota > 0, sum(less[d] for d in differ), np.inf)[order]
+            take = np.where(quota < has, sum(more[d] for d in differ), np.inf)[order]
+            change = np.minimum.reduceat(give, starts) + np.minimum.reduceat(take, starts)
+            g = int(np.argmin(change))
+            if change[g] < best[0]:
+                part = slice(starts[g], ends[g])
+                best = (float(change[g]), order[part][np.argmin(give[part])], order[part][np.argmin(take[part])])
+        if best[0] == -1e-7:
+            return quota
+        a, b = best[1:]
+        ends_of = [(d, codes[d][a], codes[d][b]) for d in dims if codes[d][a] != codes[d][b]]
+
+        def moved(n: int) -> float:
+            return sum(cost(d, sums[d][x] - n, x) + cost(d, sums[d][y] + n, y) for d, x, y in ends_of)
+
+        low, high = 1, int(min(quota[a], has[b] - quota[b]))
+        while low < high:  # the cost is convex in the number of rows moved
+            middle = (low + high) // 2
+            low, high = (middle + 1, high) if moved(middle + 1) < moved(middle) else (low, middle)
+        quota[a] -= low
+        quota[b] += low
+        for d, x, y in ends_of:
+            sums[d][x] -= low
+            sums[d][y] += low
+    return quota
+
+
+def allocate(leaves: list[tuple], has: list[int], size: int, weights: dict[str, dict[str, float]]) -> np.ndarray:
+    """The quota of each leaf, given as its categories in the order of ``DIMENSIONS``."""
+    have, quota = np.array(has, dtype=np.int64), np.zeros(len(leaves), dtype=np.int64)
+    if not leaves:
+        return quota
+    fields: dict[str, float] = {}
+    for domain in {x[0] for x in leaves}:
+        fields[field_of(domain)] = fields.get(field_of(domain), 0.0) + weights["domain"].get(domain, 0.0)
+    _top_down([(field_of(x[0]), *x) for x in leaves], have, size, [fields, *(weights[d] for d in DIMENSIONS)], quota, np.arange(len(leaves)))
+    codes, wanted = [], []
+    for d, dim in enumerate(DIMENSIONS):
+        names = sorted({x[d] for x in leaves})
+        at = {c: i for i, c in enumerate(names)}
+        codes.append(np.array([at[x[d]] for x in leaves]))
+        there = np.bincount(codes[d], have, len(names))
+        share = np.array([weights[dim].get(c, 0.0) for c in names])
+        # Domains have got theirs, with siblings of their field before others.
+        wanted.append(np.bincount(codes[d], quota, len(names)) if dim == "domain" else proportional(float(quota.sum()), share, there))
+    return hand_over(quota, have, np.array(codes), wanted)
+
+
 class Allocation:
     """Counts per leaf of the category tree, the sample size and the quota of each leaf.
 
@@ -80,48 +208,19 @@ class Allocation:
         self.total = self.counts.agg(F.sum("has")).first()[0] or 0
         self.size = int(self.total * share_of_rows + 1e-9)
 
-    def weights(self, dim: str) -> DataFrame:
-        least = F.col("min_rows") / F.lit(float(max(1, self.size)))
-        return self.targets.where(F.col("dim_name") == dim).groupBy(F.col("cat").alias(dim)).agg(F.max(F.greatest("target_share", least)).alias(f"w_{dim}"))
-
     def quotas(self) -> DataFrame:
         """(domain, difficulty_level, operation_type, has, quota); quotas are whole and sum to the sample size, or to all there is."""
-        t = self.counts.where(" AND ".join(f"{d} IS NOT NULL" for d in DIMENSIONS))
-        for d in DIMENSIONS:
-            t = t.join(F.broadcast(self.weights(d)), d)
-        # The field of a domain: domain_<field>_domain_<name>.
-        t = t.withColumn("field", F.coalesce(F.nullif(F.regexp_extract("domain", "^domain_(.+?)_domain_", 1), F.lit("")), "domain"))
-        domain_weights = t.select("field", "domain", "w_domain").distinct().groupBy("field").agg(F.sum("w_domain").alias("w_field"))
-        t = t.join(domain_weights, "field")
-        path: list[str] = []
-        t = t.withColumn("quota", F.least(F.lit(float(self.size)), F.sum("has").over(Window.partitionBy())))
-        for level in ("field", "domain", "difficulty_level", "operation_type"):
-            t = self._share_out(t, path, level)
-            path.append(level)
-        t = t.withColumn("whole", F.floor(F.col("quota") + 1e-9)).withColumn("rest", F.col("quota") - F.col("whole"))
-        left = F.round(F.sum("quota").over(Window.partitionBy())) - F.sum("whole").over(Window.partitionBy())
-        rank = F.row_number().over(Window.partitionBy().orderBy(F.desc("rest"), *DIMENSIONS))
-        more = (rank <= left) & (F.col("whole") < F.col("has"))
-        return t.select(*DIMENSIONS, "has", (F.col("whole") + F.when(more, 1).otherwise(0)).cast("bigint").alias("quota"))
-
-    @staticmethod
-    def _share_out(t: DataFrame, path: list[str], level: str) -> DataFrame:
-        """``quota`` is the parent's; afterwards it is the node's own. A node's rows are repeated for all its leaves."""
-        node = [*path, level]
-        parent, own = Window.partitionBy(*path), Window.partitionBy(*node)
-        t = t.withColumn("node_has", F.sum("has").over(own)).withColumn("leaves", F.count("*").over(own))
-        weight = F.col(f"w_{level}")
-        t = t.withColumn("w_sum", F.sum(weight / F.col("leaves")).over(parent))
-        t = t.withColumn("base", F.least(F.col("node_has").cast("double"), F.coalesce(F.try_divide(F.col("quota") * weight, F.col("w_sum")), F.lit(0.0))))
-        t = t.withColumn("room", F.col("node_has") - F.col("base"))
-        rest = F.col("quota") - F.sum(F.col("base") / F.col("leaves")).over(parent)
-        room = F.sum(F.col("room") / F.col("leaves")).over(parent)
-        t = t.withColumn("own_quota", F.least(F.col("node_has").cast("double"), F.col("base") + F.coalesce(F.try_divide(rest * F.col("room"), room), F.lit(0.0))))
-        return t.withColumn("quota", F.col("own_quota")).drop("node_has", "leaves", "w_sum", "base", "room", "own_quota")
+        leaves = sorted(self.counts.where(" AND ".join(f"{d} IS NOT NULL" for d in DIMENSIONS)).collect(), key=lambda r: r[: len(DIMENSIONS)])
+        least = F.col("min_rows") / F.lit(float(max(1, self.size)))
+        targets = self.targets.groupBy("dim_name", "cat").agg(F.max(F.greatest("target_share", least)).alias("weight")).collect()
+        weights = {d: {r.cat: r.weight for r in targets if r.dim_name == d} for d in DIMENSIONS}
+        quotas = allocate([r[: len(DIMENSIONS)] for r in leaves], [r.has for r in leaves], self.size, weights)
+        schema = ", ".join(f"{d} string" for d in DIMENSIONS) + ", has bigint, quota bigint"
+        return self.stage.spark.createDataFrame([(*r, int(q)) for r, q in zip(leaves, quotas)], schema)
 
     def draw(self, seed: int = 42) -> DataFrame:
         """The sampled rows: key and categories."""
-        quotas = self.stage.put(self.quotas().where("quota > 0"))
+        quotas = self.quotas().where("quota > 0")
         rows = self.rows.join(F.broadcast(quotas), list(DIMENSIONS)).withColumn("h", F.xxhash64("key", F.lit(seed)))
         rows = rows.withColumn("range", F.shiftright(F.col("h"), 56).cast("int"))
         per = rows.groupBy(*DIMENSIONS, "quota", "range").agg(F.count("*").alias("n"))

@@ -46,6 +46,20 @@ def test_unmet_quota_goes_to_siblings_first(spark):
     assert quota == {"domain_x_domain_a": 90, "domain_x_domain_b": 10, "domain_y_domain_c": 100}
 
 
+def instruction_rows(counts):
+    """``counts``: (domain, level, operation) -> rows."""
+    return [(i, d, "s", "inst", level, o, "a", "k", "l", 1) for i, (d, level, o) in enumerate(c for c, n in counts.items() for _ in range(n))]
+
+
+def test_a_category_short_under_one_parent_is_made_up_under_others(spark):
+    # Operation and level are rare in domain a; domain c has enough of both, so all three dimensions can be met.
+    a, c = "domain_x_domain_a", "domain_y_domain_c"
+    rows = instruction_rows({(a, "easy", "move"): 495, (a, "hard", "add_element"): 5, (c, "easy", "move"): 200, (c, "easy", "add_element"): 100, (c, "hard", "move"): 100, (c, "hard", "add_element"): 100})
+    wanted = [("domain", a, 0.5, 0, "x"), ("domain", c, 0.5, 0, "x"), ("difficulty_level", "easy", 0.6, 0, "x"), ("difficulty_level", "hard", 0.4, 0, "x"), ("operation_type", "move", 0.7, 0, "x"), ("operation_type", "add_element", 0.3, 0, "x")]
+    report = Allocation(spark, spark.createDataFrame(rows, INSTRUCTIONS), spark.createDataFrame(wanted, TARGETS)).report().collect()
+    assert {r.category: r.sampled for r in report} == {a: 100, c: 100, "easy": 120, "hard": 80, "move": 140, "add_element": 60}
+
+
 def test_empty_and_null_sampling(spark):
     none = spark.createDataFrame([], INSTRUCTIONS)
     a = Allocation(spark, none, targets(spark))
