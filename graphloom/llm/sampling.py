@@ -10,8 +10,9 @@ the move that brings the sums of all categories closest to what is wanted of
 them, until no move helps. The table of leaves depends on the categories alone,
 never on the rows, and this is done on the driver.
 
-A category's weight is its target share, raised to ``min_rows`` of the sample
-size. At a leaf the rows are drawn by their rank in a permuted (hashed) order.
+``min_rows`` of each category, or all it has, are reserved before the rest is
+shared out by target shares; where they exceed the sample size together, or
+cannot be met together, the report says which are missed. At a leaf the rows are drawn by their rank in a permuted (hashed) order.
 The rank comes from counts per hash range; only the range in which a leaf's
 quota ends is sorted, so a leaf with a third of all rows is no hot task.
 """
@@ -31,6 +32,8 @@ from ..staging import Stage
 
 DIMENSIONS = ("domain", "difficulty_level", "operation_type")
 RANGES = 256
+#: A row lacking from min_rows outweighs what it costs the shares of other categories.
+BELOW_FLOOR = 1000.0
 
 
 def level_of(level: Column, instruction_id: Column) -> Column:
@@ -67,10 +70,15 @@ def targets_of(sample_targets: DataFrame) -> DataFrame:
     ).where("dim_name IS NOT NULL AND category IS NOT NULL").distinct()
 
 
-def proportional(quota: float, weight: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Parts of ``quota`` in proportion to the weights, each at most its bound; parts without weight get what the others cannot take."""
+def proportional(quota: float, weight: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Parts of ``quota`` in proportion to the weights, each within its bounds; parts without weight get more than ``low`` only of what the others cannot take.
+
+    If the lower bounds alone are more than the quota, it is shared out in proportion to them.
+    """
     quota = min(quota, float(high.sum()))
-    full = np.where(weight > 0, high, 0.0)
+    if low.sum() >= quota:
+        return low * (quota / low.sum() if low.sum() > 0 else 0.0)
+    full = np.where(weight > 0, high, low).astype(float)
     if quota >= full.sum():
         room = high - full
         return full + room * ((quota - full.sum()) / room.sum() if room.sum() > 0 else 0.0)
@@ -78,8 +86,8 @@ def proportional(quota: float, weight: np.ndarray, high: np.ndarray) -> np.ndarr
     below, above = 0.0, float((high[positive] / weight[positive]).max())
     for _ in range(200):
         middle = (below + above) / 2
-        below, above = (middle, above) if np.minimum(middle * weight, high).sum() < quota else (below, middle)
-    return np.minimum(above * weight, high)
+        below, above = (middle, above) if np.clip(middle * weight, low, high).sum() < quota else (below, middle)
+    return np.clip(above * weight, low, high)
 
 
 def whole_parts(parts: np.ndarray, total: int, high: np.ndarray) -> np.ndarray:
@@ -98,8 +106,8 @@ def field_of(domain: str) -> str:
     return found[1] if found else domain
 
 
-def _top_down(paths: list[tuple], has: np.ndarray, quota: int, weights: list[dict], out: np.ndarray, index: np.ndarray, level: int = 0) -> None:
-    """Share the quota of a node out to its children; ``out`` gets the quotas of the leaves."""
+def _top_down(paths: list[tuple], has: np.ndarray, quota: int, weights: list[dict], floors: list[dict], out: np.ndarray, index: np.ndarray, level: int = 0) -> None:
+    """Share the quota of a node out to its children, rounded within the node; ``out`` gets the quotas of the leaves."""
     if level == len(weights):
         out[index] = quota
         return
@@ -108,16 +116,18 @@ def _top_down(paths: list[tuple], has: np.ndarray, quota: int, weights: list[dic
         children.setdefault(paths[i][level], []).append(i)
     high = np.array([has[c].sum() for c in children.values()])
     weight = np.array([weights[level].get(c, 0.0) for c in children])
+    low = np.minimum([floors[level].get(c, 0) for c in children], high)
     total = int(min(quota, high.sum()))
-    for child, part in zip(children.values(), whole_parts(proportional(total, weight, high), total, high)):
-        _top_down(paths, has, int(part), weights, out, np.array(child), level + 1)
+    for child, part in zip(children.values(), whole_parts(proportional(total, weight, low, high), total, high)):
+        _top_down(paths, has, int(part), weights, floors, out, np.array(child), level + 1)
 
 
-def hand_over(quota: np.ndarray, has: np.ndarray, codes: np.ndarray, wanted: list[np.ndarray]) -> np.ndarray:
+def hand_over(quota: np.ndarray, has: np.ndarray, codes: np.ndarray, wanted: list[np.ndarray], floors: list[np.ndarray]) -> np.ndarray:
     """Move quota between leaves until no move brings the sums of categories closer to what is wanted.
 
     ``codes`` has the category of each leaf by dimension. A category costs its
-    squared distance over what is wanted. Of all pairs of leaves the best is
+    squared distance over what is wanted, and ``BELOW_FLOOR`` times the square of
+    what it lacks of its floor. Of all pairs of leaves the best is
     taken: for each set of dimensions in which the two may agree, which then
     cost nothing, the cheapest giver and taker of each group of agreeing leaves.
     The cost falls with every move, so this ends.
@@ -126,7 +136,7 @@ def hand_over(quota: np.ndarray, has: np.ndarray, codes: np.ndarray, wanted: lis
     sums = [np.bincount(codes[d], quota, len(wanted[d])) for d in dims]
 
     def cost(d: int, at: np.ndarray, c: int | slice = slice(None)) -> np.ndarray:
-        return (at - wanted[d][c]) ** 2 / np.maximum(wanted[d][c], 1.0)
+        return (at - wanted[d][c]) ** 2 / np.maximum(wanted[d][c], 1.0) + BELOW_FLOOR * np.maximum(floors[d][c] - at, 0) ** 2
 
     groups = []
     for agree in itertools.chain.from_iterable(itertools.combinations(dims, n) for n in range(len(wanted))):
@@ -168,25 +178,34 @@ def hand_over(quota: np.ndarray, has: np.ndarray, codes: np.ndarray, wanted: lis
     return quota
 
 
-def allocate(leaves: list[tuple], has: list[int], size: int, weights: dict[str, dict[str, float]]) -> np.ndarray:
+def allocate(leaves: list[tuple], has: list[int], size: int, weights: dict[str, dict[str, float]], least: dict[str, dict[str, int]]) -> np.ndarray:
     """The quota of each leaf, given as its categories in the order of ``DIMENSIONS``."""
     have, quota = np.array(has, dtype=np.int64), np.zeros(len(leaves), dtype=np.int64)
     if not leaves:
         return quota
+    rows_of: dict[str, int] = {}
+    for x, n in zip(leaves, has):
+        rows_of[x[0]] = rows_of.get(x[0], 0) + n
     fields: dict[str, float] = {}
-    for domain in {x[0] for x in leaves}:
-        fields[field_of(domain)] = fields.get(field_of(domain), 0.0) + weights["domain"].get(domain, 0.0)
-    _top_down([(field_of(x[0]), *x) for x in leaves], have, size, [fields, *(weights[d] for d in DIMENSIONS)], quota, np.arange(len(leaves)))
-    codes, wanted = [], []
+    field_floors: dict[str, int] = {}
+    for domain, n in rows_of.items():
+        own = max(weights["domain"].get(domain, 0.0), min(n, least["domain"].get(domain, 0)) / max(1, size))  # a field gets what its domains want
+        fields[field_of(domain)] = fields.get(field_of(domain), 0.0) + own
+        field_floors[field_of(domain)] = field_floors.get(field_of(domain), 0) + min(n, least["domain"].get(domain, 0))
+    # A level or an operation owes its min_rows as a whole, not under each parent: hand_over sees to it.
+    _top_down([(field_of(x[0]), *x) for x in leaves], have, size, [fields, *(weights[d] for d in DIMENSIONS)], [field_floors, least["domain"], {}, {}], quota, np.arange(len(leaves)))
+    codes, wanted, floors = [], [], []
     for d, dim in enumerate(DIMENSIONS):
         names = sorted({x[d] for x in leaves})
         at = {c: i for i, c in enumerate(names)}
         codes.append(np.array([at[x[d]] for x in leaves]))
         there = np.bincount(codes[d], have, len(names))
         share = np.array([weights[dim].get(c, 0.0) for c in names])
+        floors.append(np.minimum([least[dim].get(c, 0) for c in names], there))
         # Domains have got theirs, with siblings of their field before others.
-        wanted.append(np.bincount(codes[d], quota, len(names)) if dim == "domain" else proportional(float(quota.sum()), share, there))
-    return hand_over(quota, have, np.array(codes), wanted)
+        wanted.append(np.bincount(codes[d], quota, len(names)) if dim == "domain" else proportional(float(quota.sum()), share, floors[-1], there))
+        floors[-1] = np.minimum(floors[-1], wanted[-1])  # less where all floors together exceed the size
+    return hand_over(quota, have, np.array(codes), wanted, floors)
 
 
 class Allocation:
@@ -211,10 +230,9 @@ class Allocation:
     def quotas(self) -> DataFrame:
         """(domain, difficulty_level, operation_type, has, quota); quotas are whole and sum to the sample size, or to all there is."""
         leaves = sorted(self.counts.where(" AND ".join(f"{d} IS NOT NULL" for d in DIMENSIONS)).collect(), key=lambda r: r[: len(DIMENSIONS)])
-        least = F.col("min_rows") / F.lit(float(max(1, self.size)))
-        targets = self.targets.groupBy("dim_name", "cat").agg(F.max(F.greatest("target_share", least)).alias("weight")).collect()
-        weights = {d: {r.cat: r.weight for r in targets if r.dim_name == d} for d in DIMENSIONS}
-        quotas = allocate([r[: len(DIMENSIONS)] for r in leaves], [r.has for r in leaves], self.size, weights)
+        targets = self.targets.groupBy("dim_name", "cat").agg(F.max("target_share").alias("weight"), F.max("min_rows").alias("least")).collect()
+        weights, least = ({d: {r.cat: r[c] for r in targets if r.dim_name == d} for d in DIMENSIONS} for c in ("weight", "least"))
+        quotas = allocate([r[: len(DIMENSIONS)] for r in leaves], [r.has for r in leaves], self.size, weights, least)
         schema = ", ".join(f"{d} string" for d in DIMENSIONS) + ", has bigint, quota bigint"
         return self.stage.spark.createDataFrame([(*r, int(q)) for r, q in zip(leaves, quotas)], schema)
 
@@ -233,7 +251,8 @@ class Allocation:
         return whole.unionByName(edge).select("key", *DIMENSIONS)
 
     def report(self, sampled: bool = True) -> DataFrame:
-        """One row per target: what it asks for, what there is, what the sample gets and whether the category falls short."""
+        """One row per target: what it asks for, what there is, what the sample gets, whether the category falls short,
+        and whether the sample misses whole rows of it that are wanted (by share or ``min_rows``) and there."""
         quotas = self.quotas() if sampled else None
 
         def per_dim(df: DataFrame, column: str, name: str) -> DataFrame:
@@ -244,7 +263,11 @@ class Allocation:
         if quotas is not None:
             out = out.join(per_dim(quotas, "quota", "sampled"), ["dim_name", "cat"], "left").fillna(0, ["sampled"])
         short = (F.col("available") < F.col("min_rows")) | (F.col("available") < F.col("target_share") * F.lit(float(self.size)))
-        return out.withColumn("falls_short", short)
+        out = out.withColumn("falls_short", short)
+        if quotas is not None:
+            wanted = F.greatest(F.col("min_rows"), F.floor(F.col("target_share") * F.lit(float(self.size)) + 1e-9))
+            out = out.withColumn("missed", F.col("sampled") < F.least("available", wanted))
+        return out
 
 
 def _allocation(spark: SparkSession, sf_dir: str) -> Allocation:
@@ -265,7 +288,7 @@ def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wanted and reached share of every target."""
     a = _allocation(spark, sf_dir)
     share = F.col("sampled") / F.lit(float(max(1, a.size)))
-    return a.report().select("dim_name", "category", "target_share", "min_rows", "available", "sampled", share.alias("sampled_share"), "falls_short")
+    return a.report().select("dim_name", "category", "target_share", "min_rows", "available", "sampled", share.alias("sampled_share"), "falls_short", "missed")
 
 
 QUERIES = {"p1_found": p1_found, "p1_sample": p1_sample, "p1_report": p1_report}

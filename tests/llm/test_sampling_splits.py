@@ -60,6 +60,22 @@ def test_a_category_short_under_one_parent_is_made_up_under_others(spark):
     assert {r.category: r.sampled for r in report} == {a: 100, c: 100, "easy": 120, "hard": 80, "move": 140, "add_element": 60}
 
 
+def test_min_rows_are_kept_and_misses_reported(spark):
+    # A category of min_rows 10 lies in 20 leaves, in each with a fraction of a row by its share.
+    domains = [f"domain_{x}_domain_{y}" for x in "abcd" for y in "vwxyz"]
+    counts = {(d, "easy", o): n for d in domains for o, n in (("move", 100), ("noop", 2))}
+    counts |= {("domain_e_domain_small", "easy", "move"): 12, ("domain_e_domain_few", "easy", "move"): 4}
+    wanted = [("domain", d, 0.05, 0, "x") for d in domains] + [("domain", "domain_e_domain_small", 0.001, 10, "x"), ("domain", "domain_e_domain_few", 0.001, 6, "x"), ("difficulty_level", "easy", 1.0, 5, "x"), ("operation_type", "move", 0.999, 5, "x"), ("operation_type", "noop", 0.001, 10, "x"), ("operation_type", "never", 0.0, 3, "x")]
+    a = Allocation(spark, spark.createDataFrame(instruction_rows(counts), INSTRUCTIONS), spark.createDataFrame(wanted, TARGETS))
+    report = {r.category: r for r in a.report().collect()}
+    assert (report["noop"].sampled, report["domain_e_domain_small"].sampled, report["domain_e_domain_few"].sampled) == (10, 10, 4)
+    assert report["domain_e_domain_few"].falls_short and not report["domain_e_domain_few"].missed and not report["noop"].missed
+    # More min_rows than the sample has rows: each gets its part, and the report says that it is missed.
+    few = [(*t[:3], 100, "x") for t in wanted]
+    report = {r.category: r for r in Allocation(spark, spark.createDataFrame(instruction_rows(counts), INSTRUCTIONS), spark.createDataFrame(few, TARGETS)).report().collect()}
+    assert all(report[d].missed and report[d].sampled > 0 for d in domains) and not report["never"].missed
+
+
 def test_empty_and_null_sampling(spark):
     none = spark.createDataFrame([], INSTRUCTIONS)
     a = Allocation(spark, none, targets(spark))
