@@ -7,7 +7,9 @@ its siblings first, in proportion to their shares. This makes the shares of
 domains right, but a level or an operation that is short under one parent stays
 short. So quota is then handed over between leaves, cousins included: each time
 the move that brings the sums of all categories closest to what is wanted of
-them, until no move helps. The table of leaves depends on the categories alone,
+them, until no move helps. A category that is missing or has no target is a
+branch of its own without share, so its rows can serve the categories they do
+have; only rows without any are never drawn. The table of leaves depends on the categories alone,
 never on the rows, and this is done on the driver.
 
 ``min_rows`` of each category, or all it has, are reserved before the rest is
@@ -21,6 +23,8 @@ from __future__ import annotations
 
 import itertools
 import re
+from functools import reduce
+from operator import and_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -34,6 +38,8 @@ DIMENSIONS = ("domain", "difficulty_level", "operation_type")
 RANGES = 256
 #: A row lacking from min_rows outweighs what it costs the shares of other categories.
 BELOW_FLOOR = 1000.0
+#: A row lacking from the target share outweighs one lacking from what is given beyond it in place of short categories.
+BELOW_SHARE = 100.0
 
 
 def level_of(level: Column, instruction_id: Column) -> Column:
@@ -100,9 +106,9 @@ def whole_parts(parts: np.ndarray, total: int, high: np.ndarray) -> np.ndarray:
     return out
 
 
-def field_of(domain: str) -> str:
-    """The field of a domain: domain_<field>_domain_<name>."""
-    found = re.match(r"domain_(.+?)_domain_", domain, re.DOTALL)
+def field_of(domain: str | None) -> str | None:
+    """The field of a domain: domain_<field>_domain_<name>; NULL is a field of its own."""
+    found = re.match(r"domain_(.+?)_domain_", domain or "", re.DOTALL)
     return found[1] if found else domain
 
 
@@ -122,12 +128,14 @@ def _top_down(paths: list[tuple], has: np.ndarray, quota: int, weights: list[dic
         _top_down(paths, has, int(part), weights, floors, out, np.array(child), level + 1)
 
 
-def hand_over(quota: np.ndarray, has: np.ndarray, codes: np.ndarray, wanted: list[np.ndarray], floors: list[np.ndarray]) -> np.ndarray:
+def hand_over(quota: np.ndarray, has: np.ndarray, codes: np.ndarray, wanted: list[np.ndarray], enough: list[np.ndarray], floors: list[np.ndarray], counts: list[np.ndarray]) -> np.ndarray:
     """Move quota between leaves until no move brings the sums of categories closer to what is wanted.
 
     ``codes`` has the category of each leaf by dimension. A category costs its
-    squared distance over what is wanted, and ``BELOW_FLOOR`` times the square of
-    what it lacks of its floor. Of all pairs of leaves the best is
+    squared distance over what is wanted, ``BELOW_SHARE`` times that of what it
+    lacks of ``enough``, and ``BELOW_FLOOR`` times the square of what it lacks of
+    its floor, where ``counts`` is 1; it costs nothing where that
+    is 0. Of all pairs of leaves the best is
     taken: for each set of dimensions in which the two may agree, which then
     cost nothing, the cheapest giver and taker of each group of agreeing leaves.
     The cost falls with every move, so this ends.
@@ -136,7 +144,8 @@ def hand_over(quota: np.ndarray, has: np.ndarray, codes: np.ndarray, wanted: lis
     sums = [np.bincount(codes[d], quota, len(wanted[d])) for d in dims]
 
     def cost(d: int, at: np.ndarray, c: int | slice = slice(None)) -> np.ndarray:
-        return (at - wanted[d][c]) ** 2 / np.maximum(wanted[d][c], 1.0) + BELOW_FLOOR * np.maximum(floors[d][c] - at, 0) ** 2
+        off = (at - wanted[d][c]) ** 2 + BELOW_SHARE * np.maximum(enough[d][c] - at, 0) ** 2
+        return counts[d][c] * (off / np.maximum(wanted[d][c], 1.0) + BELOW_FLOOR * np.maximum(floors[d][c] - at, 0) ** 2)
 
     groups = []
     for agree in itertools.chain.from_iterable(itertools.combinations(dims, n) for n in range(len(wanted))):
@@ -179,7 +188,10 @@ def hand_over(quota: np.ndarray, has: np.ndarray, codes: np.ndarray, wanted: lis
 
 
 def allocate(leaves: list[tuple], has: list[int], size: int, weights: dict[str, dict[str, float]], least: dict[str, dict[str, int]]) -> np.ndarray:
-    """The quota of each leaf, given as its categories in the order of ``DIMENSIONS``."""
+    """The quota of each leaf, given as its categories in the order of ``DIMENSIONS``.
+
+    NULL is a category without share, which costs nothing by itself.
+    """
     have, quota = np.array(has, dtype=np.int64), np.zeros(len(leaves), dtype=np.int64)
     if not leaves:
         return quota
@@ -194,18 +206,21 @@ def allocate(leaves: list[tuple], has: list[int], size: int, weights: dict[str,
         field_floors[field_of(domain)] = field_floors.get(field_of(domain), 0) + min(n, least["domain"].get(domain, 0))
     # A level or an operation owes its min_rows as a whole, not under each parent: hand_over sees to it.
     _top_down([(field_of(x[0]), *x) for x in leaves], have, size, [fields, *(weights[d] for d in DIMENSIONS)], [field_floors, least["domain"], {}, {}], quota, np.arange(len(leaves)))
-    codes, wanted, floors = [], [], []
+    codes, wanted, enough, floors, counts = [], [], [], [], []
     for d, dim in enumerate(DIMENSIONS):
-        names = sorted({x[d] for x in leaves})
+        names = sorted({x[d] for x in leaves}, key=lambda x: (x is not None, x or ""))
         at = {c: i for i, c in enumerate(names)}
         codes.append(np.array([at[x[d]] for x in leaves]))
         there = np.bincount(codes[d], have, len(names))
         share = np.array([weights[dim].get(c, 0.0) for c in names])
+        named = np.array([c is not None for c in names], dtype=float)
+        counts.append(named)
         floors.append(np.minimum([least[dim].get(c, 0) for c in names], there))
         # Domains have got theirs, with siblings of their field before others.
-        wanted.append(np.bincount(codes[d], quota, len(names)) if dim == "domain" else proportional(float(quota.sum()), share, floors[-1], there))
+        wanted.append(np.bincount(codes[d], quota, len(names)) if dim == "domain" else proportional(float(quota.sum()), share, floors[-1], there * named))
+        enough.append(np.minimum(np.minimum(share * size, there), wanted[-1]))
         floors[-1] = np.minimum(floors[-1], wanted[-1])  # less where all floors together exceed the size
-    return hand_over(quota, have, np.array(codes), wanted, floors)
+    return hand_over(quota, have, np.array(codes), wanted, enough, floors, counts)
 
 
 class Allocation:
@@ -217,19 +232,22 @@ class Allocation:
 
     def __init__(self, spark: SparkSession, instructions: DataFrame, sample_targets: DataFrame, share_of_rows: float = 0.2):
         self.stage = Stage(spark, "sampling")
-        self.rows = self.stage.put(categorised(instructions))
         self.targets = self.stage.put(targets_of(sample_targets))
-        counted = self.rows
-        for d in DIMENSIONS:  # values without a target become NULL
-            cats = self.targets.where(F.col("dim_name") == d).select(F.col("cat").alias(d), F.lit(True).alias("wanted")).distinct()
-            counted = counted.join(F.broadcast(cats), d, "left").withColumn(d, F.when(F.col("wanted"), F.col(d))).drop("wanted")
-        self.counts = self.stage.put(counted.groupBy(*DIMENSIONS).agg(F.count("*").alias("has")))
+        rows = categorised(instructions)
+        for d in DIMENSIONS:  # in leaf_*, values without a target become NULL
+            cats = self.targets.where(F.col("dim_name") == d).select(F.col("cat").alias(f"leaf_{d}")).distinct()
+            rows = rows.join(F.broadcast(cats), F.col(d) == F.col(f"leaf_{d}"), "left")
+        self.rows = self.stage.put(rows)
+        self.counts = self.stage.put(self.rows.groupBy(*[F.col(f"leaf_{d}").alias(d) for d in DIMENSIONS]).agg(F.count("*").alias("has")))
         self.total = self.counts.agg(F.sum("has")).first()[0] or 0
         self.size = int(self.total * share_of_rows + 1e-9)
 
     def quotas(self) -> DataFrame:
-        """(domain, difficulty_level, operation_type, has, quota); quotas are whole and sum to the sample size, or to all there is."""
-        leaves = sorted(self.counts.where(" AND ".join(f"{d} IS NOT NULL" for d in DIMENSIONS)).collect(), key=lambda r: r[: len(DIMENSIONS)])
+        """(domain, difficulty_level, operation_type, has, quota); quotas are whole and sum to the sample size, or to all there is.
+
+        NULL stands for values missing or without a target.
+        """
+        leaves = sorted(self.counts.where(F.coalesce(*DIMENSIONS).isNotNull()).collect(), key=lambda r: [(x is not None, x or "") for x in r[: len(DIMENSIONS)]])
         targets = self.targets.groupBy("dim_name", "cat").agg(F.max("target_share").alias("weight"), F.max("min_rows").alias("least")).collect()
         weights, least = ({d: {r.cat: r[c] for r in targets if r.dim_name == d} for d in DIMENSIONS} for c in ("weight", "least"))
         quotas = allocate([r[: len(DIMENSIONS)] for r in leaves], [r.has for r in leaves], self.size, weights, least)
@@ -237,16 +255,19 @@ class Allocation:
         return self.stage.spark.createDataFrame([(*r, int(q)) for r, q in zip(leaves, quotas)], schema)
 
     def draw(self, seed: int = 42) -> DataFrame:
-        """The sampled rows: key and categories."""
-        quotas = self.quotas().where("quota > 0")
-        rows = self.rows.join(F.broadcast(quotas), list(DIMENSIONS)).withColumn("h", F.xxhash64("key", F.lit(seed)))
-        rows = rows.withColumn("range", F.shiftright(F.col("h"), 56).cast("int"))
-        per = rows.groupBy(*DIMENSIONS, "quota", "range").agg(F.count("*").alias("n"))
-        upto = F.sum("n").over(Window.partitionBy(*DIMENSIONS).orderBy("range")) - F.col("n")
+        """The sampled rows: key and categories, also those without a target."""
+        leaves = [f"leaf_{d}" for d in DIMENSIONS]
+        quotas = self.quotas().where("quota > 0").select(*[F.col(d).alias(f"q_{d}") for d in DIMENSIONS], "quota")
+        same = [F.col(f"leaf_{d}").eqNullSafe(F.col(f"q_{d}")) for d in DIMENSIONS]
+        rows = self.rows.join(F.broadcast(quotas), reduce(and_, same)).drop(*[f"q_{d}" for d in DIMENSIONS])
+        rows = rows.withColumn("h", F.xxhash64("key", F.lit(seed))).withColumn("range", F.shiftright(F.col("h"), 56).cast("int"))
+        per = rows.groupBy(*leaves, "quota", "range").agg(F.count("*").alias("n"))
+        upto = F.sum("n").over(Window.partitionBy(*leaves).orderBy("range")) - F.col("n")
         per = self.stage.put(per.withColumn("before", upto).where("before < quota"))  # leaves x ranges, no more
-        kept = rows.join(F.broadcast(per.drop("quota")), [*DIMENSIONS, "range"])
+        per = per.select(*[F.col(f"leaf_{d}").alias(f"q_{d}") for d in DIMENSIONS], F.col("range").alias("q_range"), "n", "before")
+        kept = rows.join(F.broadcast(per), reduce(and_, same) & (F.col("range") == F.col("q_range")))
         whole = kept.where(F.col("before") + F.col("n") <= F.col("quota"))
-        rank = F.dense_rank().over(Window.partitionBy(*DIMENSIONS, "range").orderBy("h", "key"))
+        rank = F.dense_rank().over(Window.partitionBy(*leaves, "range").orderBy("h", "key"))
         edge = kept.where(F.col("before") + F.col("n") > F.col("quota")).withColumn("rank", rank).where(F.col("before") + F.col("rank") <= F.col("quota")).drop("rank")
         return whole.unionByName(edge).select("key", *DIMENSIONS)
 

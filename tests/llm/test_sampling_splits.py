@@ -76,6 +76,20 @@ def test_min_rows_are_kept_and_misses_reported(spark):
     assert all(report[d].missed and report[d].sampled > 0 for d in domains) and not report["never"].missed
 
 
+def test_rows_with_a_missing_category_serve_the_others(spark):
+    # Domain b has 20 rows, all but 2 without operation or with one that has no target; rows without any category stay out.
+    a, b = "domain_x_domain_a", "domain_y_domain_b"
+    rows = instruction_rows({(a, "easy", "move"): 200, (b, "easy", None): 10, (b, "hard", "other"): 8, (b, "easy", "move"): 2, ("else", "none", " "): 80})
+    wanted = [("domain", a, 0.5, 0, "x"), ("domain", b, 0.5, 10, "x"), ("difficulty_level", "easy", 0.9, 0, "x"), ("difficulty_level", "hard", 0.1, 6, "x"), ("operation_type", "move", 1.0, 0, "x")]
+    allocation = Allocation(spark, spark.createDataFrame(rows, INSTRUCTIONS), spark.createDataFrame(wanted, TARGETS))
+    report = {r.category: r for r in allocation.report().collect()}
+    drawn = allocation.draw().collect()
+    assert len(drawn) == allocation.size == 60 and len({r.key for r in drawn}) == 60
+    assert report["hard"].sampled >= 6 and report[b].sampled >= 10 and report[a].sampled + report[b].sampled == 60
+    assert Counter(r.domain for r in drawn) == {a: report[a].sampled, b: report[b].sampled}
+    assert sum(r.operation_type == "other" for r in drawn) >= 6
+
+
 def test_empty_and_null_sampling(spark):
     none = spark.createDataFrame([], INSTRUCTIONS)
     a = Allocation(spark, none, targets(spark))
