@@ -195,6 +195,19 @@ def canonical_json(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
+@F.pandas_udf(T.LongType())
+def change_tokens(texts: pd.Series) -> pd.Series:
+    """The token estimate of the canonical JSON; NULL for a text that is no JSON."""
+
+    def one(text: str | None) -> int | None:
+        try:
+            return None if text is None else max(1, len(json.dumps(json.loads(text), ensure_ascii=False)) // 4)
+        except (ValueError, RecursionError):
+            return None
+
+    return pd.Series([one(t) for t in texts], dtype="Int64")
+
+
 def clamp(score: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
 

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.metrics import assignment, greedy_matches
+from ..functions.metrics import assignment, greedy_matches, iou, matching_cost
+from ..functions.scoring import looks_like_element
 
 
 def having_all(df: DataFrame, keys: list[str], value: str, wanted: list[str]) -> DataFrame:
@@ -85,3 +86,37 @@ def greedy_pairs(df: DataFrame, key: str, left: str, right: str) -> DataFrame:
         return pd.Series([len(greedy_matches([x for x in p if x is not None], [x for x in q if x is not None])) if p is not None and q is not None else 0 for p, q in zip(a, b)])
 
     return df.select(key, matched(left, right).alias("matched"), F.greatest(F.size(left), F.lit(0)).alias("of"))
+
+
+def element_recall(df: DataFrame, key: str, original: str, rendered: str) -> DataFrame:
+    """M8: (key, matched, of, score, success): the part of the element lines of one text that the other text has.
+
+    A text without element lines has a recall of 0. A missing original fails with 0, a missing rendered text with NULL.
+    """
+    lines = [F.filter(F.split(c, "\n"), looks_like_element).alias(a) for c, a in ((original, "_a"), (rendered, "_b"))]
+    given = [F.col(c).isNotNull() for c in (original, rendered)]
+    rows = df.select(F.struct(F.col(key).alias("k"), given[0].alias("o"), given[1].alias("r")).alias("_key"), *lines)
+    found = greedy_pairs(rows, "_key", "_a", "_b")
+    recall = F.when(F.col("of") > 0, F.col("matched") / F.col("of")).otherwise(0.0)
+    score = F.when(~F.col("_key.o"), 0.0).when(F.col("_key.r"), recall)
+    return found.select(F.col("_key.k").alias(key), "matched", "of", score.alias("score"), (F.col("_key.o") & F.col("_key.r")).alias("success"))
+
+
+def structural_fidelity(reference: DataFrame, generated: DataFrame, group: str, below: float = 0.5) -> DataFrame:
+    """(group, matched, score, success): mean IoU over the optimally matched boxes (group, id, kind, x, y, w, h) of two sides.
+
+    No pair below the bound is a score of 0. A group with boxes on one side only
+    fails with 0; one whose only assignments are infinite fails with NULL.
+    """
+    sides = [df.select(group, F.col("id").alias(f"{side}_id"), *[F.col(c).alias(f"{c}_{side}") for c in ("kind", *"xywh")]) for df, side in ((reference, "left"), (generated, "right"))]
+    one, two = ({c: F.col(f"{c}_{side}") for c in "xywh"} for side in ("left", "right"))
+    cost = matching_cost(F.col("kind_left"), F.col("kind_right"), one, two)
+    both = sides[0].join(sides[1], group).select(group, "left_id", "right_id", cost.alias("cost"), iou(one, two).alias("iou"))
+    # Every pair of the assignment, to tell one without a near pair from none at all.
+    pairs = optimal_pairs(both.drop("iou"), group, float("inf")).withColumnRenamed("cost", "_cost")
+    near = F.col("_cost") < below
+    means = pairs.join(both, [group, "left_id", "right_id"]).groupBy(group).agg(F.count_if(near).alias("matched"), F.coalesce(F.avg(F.when(near, F.col("iou"))), F.lit(0.0)).alias("mean"))
+    groups = reference.select(group, F.lit(1).alias("l"), F.lit(0).alias("r")).union(generated.select(group, F.lit(0).alias("l"), F.lit(1).alias("r")))
+    groups = groups.groupBy(group).agg((F.max("l") + F.max("r") == 2).alias("full"))
+    out = groups.join(means, group, "left")
+    return out.select(group, F.coalesce("matched", F.lit(0)).alias("matched"), F.when(F.col("full"), F.col("mean")).otherwise(0.0).alias("score"), (F.col("full") & F.col("mean").isNotNull()).alias("success"))

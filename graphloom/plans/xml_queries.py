@@ -35,11 +35,19 @@ def _(t: Tables):
 
 @q("change_tokens_M16", "SELECT DISTINCT description_id, CASE WHEN components IS NULL THEN 0 ELSE 1 END::BIGINT AS has FROM descriptions")
 def _(t: Tables):
-    """M16 counts the canonical text of a change list; a missing one is 0."""
+    """Whether there is a change list to count; the counts are ``change_token_count_M16``."""
     tokens = F.when(F.col("components").isNull(), 0).otherwise(sc.token_estimate(sc.canonical_json("components")))
     return t.descriptions.select("description_id", (tokens > 0).cast("bigint").alias("has")).distinct()
 
 
+@q("change_token_count_M16")
+def _(t: Tables):
+    """Tokens of the canonical text of a change list. The metric fails with 0 if it is missing or no JSON; the evaluator skips a missing one as NULL."""
+    rows = t.descriptions.select("description_id", "components").distinct().withColumn("n", sc.change_tokens("components"))
+    score = F.coalesce("n", F.lit(0)).cast("double")
+    return rows.select("description_id", score.alias("score"), F.when(F.col("components").isNotNull(), score).alias("evaluator_score"), F.col("n").isNotNull().alias("success"))
+
+
 @q("style_score_M3_M17", "SELECT event_id, greatest(0.0, least(1.0, CASE WHEN event_id % 3 = 0 THEN round(value / 100, 4) WHEN event_id % 3 = 1 THEN (5 + 7) / 20.0 ELSE round(value / 100, 4) END))::DOUBLE AS score FROM events")
 def _(t: Tables):
     """A reply with a final score, one with dimensions only, one that is a bare number in words."""
@@ -66,7 +74,7 @@ def _(t: Tables):
 i AS (SELECT *, greatest(0, least(x + w, x2 + w2) - greatest(x, x2)) * greatest(0, least(y + h, y2 + h2) - greatest(y, y2)) AS common FROM p WHERE x2 IS NOT NULL)
 SELECT l_orderkey, round(avg(CASE WHEN w * h + w2 * h2 - common > 0 THEN common / (w * h + w2 * h2 - common) ELSE 0 END), 6) AS mean_iou FROM i GROUP BY l_orderkey""")
 def _(t: Tables):
-    """Neighbouring boxes of an order."""
+    """M6: neighbouring boxes of an order."""
     o = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "x", "y", "w", "h")
     p = _boxes(t).select("*", *[F.lead(c).over(o).alias(f"{c}2") for c in "xywh"]).where("x2 IS NOT NULL")
     one, two = ({c: F.col(c + s) for c in "xywh"} for s in ("", "2"))
@@ -75,7 +83,7 @@ def _(t: Tables):
 
 @q("optimal_match")
 def _(t: Tables):
-    """Boxes of an order against the boxes of the next order, by centres."""
+    """Boxes of an order against the boxes of the next order, by centres."""
     b = _boxes(t).groupBy("l_orderkey", "l_linenumber").agg(*[F.max(c).alias(c) for c in "xywh"]).withColumn("kind", me.box_type(F.col("w"), F.col("h")))
     a = b.select(F.col("l_orderkey").alias("grp"), F.col("l_linenumber").cast("bigint").alias("left_id"), F.col("kind").alias("k1"), *[F.col(c).alias(f"{c}1") for c in "xywh"])
     r = b.select((F.col("l_orderkey") - 1).alias("grp"), F.col("l_linenumber").cast("bigint").alias("right_id"), F.col("kind").alias("k2"), *[F.col(c).alias(f"{c}2") for c in "xywh"])
@@ -83,9 +91,24 @@ def _(t: Tables):
     return matching.optimal_pairs(a.join(r, "grp").select("grp", "left_id", "right_id", cost.alias("cost")), "grp")
 
 
+@q("structural_fidelity_M4_A28")
+def _(t: Tables):
+    """Mean IoU of the boxes of an order and those of the next order, matched by centres."""
+    b = _boxes(t).groupBy("l_orderkey", "l_linenumber").agg(*[F.max(c).cast("double").alias(c) for c in "xywh"])
+    b = b.select(F.col("l_orderkey").alias("grp"), F.col("l_linenumber").cast("bigint").alias("id"), me.box_type(F.col("w"), F.col("h")).alias("kind"), *"xywh")
+    return matching.structural_fidelity(b, b.withColumn("grp", F.col("grp") - 1), "grp").withColumn("score", F.round("score", 9))
+
+
+@q("element_recall_rate_M8")
+def _(t: Tables):
+    """M8: element lines of a description, its summary and annotations, that the recorded description of the rendering, here the summary, has too."""
+    d = t.descriptions.select("description_id", "summary", F.when(F.col("summary").isNotNull(), F.concat_ws("\n", "summary", "annotations")).alias("original")).distinct()
+    return matching.element_recall(d, "description_id", "original", "summary")
+
+
 @q("element_recall_M8", "SELECT DISTINCT description_id, 0::BIGINT AS elements FROM descriptions WHERE summary IS NOT NULL AND NOT regexp_matches(summary, '节点|连接|线|元素|矩形|圆形')")
 def _(t: Tables):
-    """Lines of a description that name elements; English ones have none."""
+    """Descriptions without lines that name elements; the recall itself is ``element_recall_rate_M8``."""
     lines = F.filter(F.split("summary", "\n"), sc.looks_like_element)
     return t.descriptions.where("summary IS NOT NULL").select("description_id", F.size(lines).alias("elements")).distinct().where("elements = 0")
 
