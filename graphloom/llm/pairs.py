@@ -98,10 +98,11 @@ def _repeats(answer: Column, source: Column) -> Column:
     return (m > 0) & (n >= m) & (n - m <= 3) & (F.slice(answer, n - m + 1, F.greatest(m, F.lit(1))) == source)
 
 
-def endings(rows: DataFrame, least: int = 5) -> DataFrame:
-    """One row: how terminated sentences end. Bounded: word pairs that end at least a 200th of them, and their usual last words.
+def endings(rows: DataFrame, stage: Stage, least: int = 5) -> tuple[DataFrame, DataFrame]:
+    """How terminated sentences end: one row of word pairs, bounded to those that end at least a 200th of them, and all last words that follow them.
 
     ``near``: the two words before the last; ``far``: the two before the last two; ``fixed``: the last two themselves.
+    The last words (last) are as many as the collection has, so they are a table to join, not an array.
     """
     done = rows.where("ends AND sentence AND size(bw) >= 5 AND q_lang <=> a_lang AND a_lang != 'zh'").select("bw", F.size("bw").alias("n"))
     pair = lambda i: F.concat_ws(" ", F.get("bw", F.col("n") - i), F.get("bw", F.col("n") - i + 1))
@@ -111,16 +112,13 @@ def endings(rows: DataFrame, least: int = 5) -> DataFrame:
         F.struct(F.lit("fixed").alias("what"), pair(2).alias("text"), F.lit("").alias("last")),
     )).alias("e")).select("e.*")
     total = F.broadcast(done.agg(F.count("*").alias("total")))  # one row
-    per = parts.groupBy("what", "text", "last").agg(F.count("*").alias("n")).crossJoin(total)
-    # Last words with at least a 5,000th of all sentences, so at most 5,000 of each kind.
-    usual = F.when(F.col("n") * 5000 >= F.col("total"), F.col("last"))
-    context = per.groupBy("what", "text").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"), F.collect_set(usual).alias("lasts"), F.first("total").alias("total"))
+    per = stage.put(parts.groupBy("what", "text", "last").agg(F.count("*").alias("n")))
+    context = per.groupBy("what", "text").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).crossJoin(total)
     enough = F.col("n") >= F.greatest(F.lit(least), F.col("total") / 200)  # at most 200 contexts of each kind
-    kept = context.where(enough & ((F.col("what") == "fixed") | (F.col("kinds") >= 4)))
-    return kept.groupBy().agg(
-        *[F.collect_set(F.when(F.col("what") == w, F.col("text"))).alias(w) for w in ("near", "far", "fixed")],
-        F.array_distinct(F.flatten(F.collect_list(F.when(F.col("what") != "fixed", F.col("lasts"))))).alias("lasts"),
-    )
+    kept = stage.put(context.where(enough & ((F.col("what") == "fixed") | (F.col("kinds") >= 4))).select("what", "text"))
+    pairs = kept.groupBy().agg(*[F.collect_set(F.when(F.col("what") == w, F.col("text"))).alias(w) for w in ("near", "far", "fixed")])
+    lasts = per.where("what != 'fixed'").join(F.broadcast(kept), ["what", "text"]).select("last").distinct()
+    return pairs, stage.put(lasts)
 
 
 def _clauses(bare: Column) -> Column:
@@ -168,11 +166,14 @@ def defects(pairs: DataFrame, stage: Stage) -> DataFrame:
     Of several rows of a pair_id the smallest counts. Extra columns are not read.
     """
     rows = stage.put(prepared(pairs))
-    ends = rows.crossJoin(F.broadcast(endings(rows)))  # one row
     n = F.size("bw")
+    context, lasts = endings(rows, stage)
+    # Only sentences without a final mark ask for their last word; the others get keys of their own.
+    asks = F.when(F.col("sentence") & ~F.col("ends"), F.get("bw", n - 1))
+    ends = rows.withColumn("last", F.coalesce(asks, F.concat(F.lit("\x00"), F.coalesce(F.col("id").cast("string"), F.lit("")))))
+    ends = ends.join(lasts.withColumn("last_known", F.lit(True)), "last", "left").crossJoin(F.broadcast(context))  # one row
     pair = lambda i: F.concat_ws(" ", F.get("bw", n - i), F.get("bw", n - i + 1))
-    last_known = F.array_contains("lasts", F.get("bw", n - 1))
-    closed = last_known & (F.array_contains("near", pair(3)) | F.array_contains("far", pair(4))) | F.array_contains("fixed", pair(2))
+    closed = F.col("last_known") & (F.array_contains("near", pair(3)) | F.array_contains("far", pair(4))) | F.array_contains("fixed", pair(2))
     cut_mark = F.col("a").rlike(r"(…|\.\.\.|[,，、;；:：\-–—(&/]|\(see)$") | F.col("a").rlike(r"(?s)\n\s*\d+[.)]$")
     unclosed = (F.length(F.regexp_replace("a", r"[^(（]", "")) > F.length(F.regexp_replace("a", r"[^)）]", ""))) | (F.length(F.regexp_replace("a", '[^"]', "")) % 2 == 1)
     unclosed = unclosed | F.col("a").rlike(r'(?s)^\{\s*"[^}]*$')
