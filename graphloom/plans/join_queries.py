@@ -342,6 +342,15 @@ def _(t: Tables):
     return p.select("pair_id", counting_correct(F.col("answer"), (F.col("pair_id") % 20).cast("string")).alias("correct"))
 
 
+@q("counting_answer_M11")
+def _(t: Tables):
+    """The counting rule on all answers, in any letters, against a number made from the id; no SQL, whose classes know ASCII only."""
+    from ..functions.metrics import counting_correct
+
+    p = t.qa_pairs.where("lower(trim(question_type)) = 'counting' AND answer IS NOT NULL").select("pair_id", "answer").distinct()
+    return p.select("pair_id", counting_correct(F.col("answer"), (F.col("pair_id") % 20).cast("string")).alias("correct"))
+
+
 @q("answer_cascade")
 def _(t: Tables):
     """Every answer against the anchor, by the whole cascade."""
