@@ -1,12 +1,20 @@
 """Parent-child rows to full hierarchies: path, depth, root, descendants, loops.
 
-Rows of one tree form fragments of at most ``fragment_rows`` rows. A Python
-stage contracts the parent chains inside each fragment to the fragment's exits
-(nodes whose parent lies in another fragment). The exits alone form a quotient
-forest, which is solved in the same way if it fits into one fragment a tree,
-else by doubling the parent pointers; its paths are then put before the local
-ones. Trees below the bound, however many, are one fragment and need no join.
-A loop is local (inside a fragment) or global (a loop of the quotient forest).
+A fragment is what lies in one range of (tree, id), whole trees and parts of
+trees alike; ranges have about ``fragment_rows`` rows, so a tree of any size is
+cut into fragments of bounded size. A Python stage contracts the parent chains
+of each fragment to its exits, the nodes whose parent lies elsewhere. Where an
+exit leads is looked up in the contracted rows. The exits on which other exits
+depend are the quotient forest; it is solved by the same steps, on its smaller
+number of rows in fewer and so wider ranges, until one fragment holds it. If a
+contraction leaves more than half of the rows (ids that say nothing about
+closeness), the next ranges put each node beside its parent by coin: a node
+that shows tails goes to a parent that shows heads, which contracts a share of
+all chains, however the ids run. Then the paths above the exits are put before
+the paths inside the fragments.
+
+A loop is local (inside a fragment) or global: then it is a loop of the quotient
+forest, whose entries into a fragment are followed up to the fragment's exit.
 """
 
 from __future__ import annotations
@@ -14,171 +22,250 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import partitions
 from ..staging import Stage
 
 ROOT, EXIT, LOOP, TAIL = 0, 1, -1, -2
-_OUT = pa.schema([("tree", pa.int64()), ("node", pa.string()), ("state", pa.int32()), ("top", pa.string()), ("leaves_to", pa.string()), ("path", pa.list_(pa.string()))])
-_OUT_DDL = "tree bigint, node string, state int, top string, leaves_to string, path array<string>"
+_OUT = pa.schema([
+    ("tree", pa.int64()), ("node", pa.string()), ("parent", pa.string()), ("state", pa.int32()), ("top", pa.string()), ("root", pa.string()),
+    ("steps", pa.int64()), ("path", pa.list_(pa.string())),
+])
+_OUT_DDL = "tree bigint, node string, parent string, state int, top string, root string, steps bigint, path array<string>"
 
 
-def contract(parent_of: dict[str, str | None], whole: bool) -> Iterator[tuple[str, int, str | None, str | None, list[str]]]:
-    """(node, state, top, parent outside, path from top) of one fragment.
+class Fragment:
+    """The rows of one tree in one fragment.
 
-    ``whole``: the fragment is the whole tree, so a parent that is not in it does not exist.
+    ``parts``: what each node adds to the path, from its parent (not included) to itself; None for the node alone.
+    ``roots``: the root to which a node without parent belongs; None for the node itself.
+    ``steps``: the length of the part; negative if the node is known to lead into a loop.
     """
-    done: dict[str, tuple[int, str | None, str | None, list[str]]] = {}
-    for start in parent_of:
-        if start in done:
-            continue
-        chain, seen, node = [], {}, start
-        while node in parent_of and node not in done and node not in seen:
-            seen[node] = len(chain)
-            chain.append(node)
-            node = parent_of[node]
-        if node in done:
-            state, top, out, path = done[node]
-            if state in (LOOP, TAIL):
-                state, path = TAIL, []
-        elif node in seen:
-            for x in chain[seen[node] :]:
-                done[x] = (LOOP, None, None, [])
-            chain, state, top, out, path = chain[: seen[node]], TAIL, None, None, []
-        else:
-            top = chain[-1]
-            state, out, path = (ROOT, None, []) if node is None or whole else (EXIT, node, [])
-        for x in reversed(chain):
-            if state != TAIL:
-                path = [*path, x]
-            done[x] = (state, top, out, path)
-    for node, (state, top, out, path) in done.items():
-        yield node, state, top, out, path
-
-
-def _local(batches: Iterator[pa.RecordBatch], flush: int = 200_000) -> Iterator[pa.RecordBatch]:
-    """Rows (tree, fragment, whole, node, parent), those of a fragment together, to contracted rows."""
-    columns: list[list] = [[] for _ in _OUT.names]
-    size = 0
-
-    def packed() -> pa.RecordBatch:
-        batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _OUT)], schema=_OUT)
-        for c in columns:
-            c.clear()
-        return batch
-
-    key, fragment, whole = None, {}, True
+
+    def __init__(self) -> None:
+        self.nodes: list[str] = []
+        self.parents: list[str | None] = []
+        self.steps: list[int] = []
+        self.parts: list[list[str] | None] = []
+        self.roots: list[str | None] = []
+
+    def loops(self, up: list[int]) -> dict[int, int]:
+        """LOOP or TAIL of the nodes from which no top is reached; ``up`` has the parent's number or -1."""
+        found: dict[int, int] = {}
+        for start in range(len(up)):
+            chain, place, at = [], {}, start
+            while at not in found and at not in place:
+                place[at] = len(chain)
+                chain.append(at)
+                at = up[at]
+            cut = place.get(at, len(chain))
+            found.update((x, TAIL) for x in chain[:cut])
+            found.update((x, LOOP) for x in chain[cut:])
+        return found
+
+    def contract(self, paths: bool) -> Iterator[tuple]:
+        """Rows of ``_OUT`` without the tree; ``path`` is the live path of the walk, to be copied by the reader.
+
+        The walk goes down from the tops and keeps one path, that of the node it is at.
+        """
+        at = {n: i for i, n in enumerate(self.nodes)}
+        below: dict[int, list[int]] = {}
+        tops, left = [], len(self.nodes)
+        for i, p in enumerate(self.parents):
+            j = at.get(p, -1) if p is not None else -1
+            if j < 0:
+                tops.append(i)
+            else:
+                below.setdefault(j, []).append(i)
+        for t in tops:
+            outside = self.parents[t] is not None
+            root = self.roots[t] if self.roots[t] is not None else self.nodes[t]
+            state = EXIT if outside else ROOT if self.steps[t] >= 0 else TAIL
+            top, path = self.nodes[t], []
+            stack = [(t, 0, 0)]
+            while stack:
+                i, steps, long = stack.pop()
+                steps += self.steps[i]
+                if paths:
+                    del path[long:]
+                    part = self.parts[i]
+                    if part is None:
+                        path.append(self.nodes[i])
+                    else:
+                        path.extend(part)
+                    long = len(path)
+                left -= 1
+                yield self.nodes[i], self.parents[i], state, top, root, steps, path
+                stack.extend((j, steps, long) for j in below.get(i, ()))
+        if left:
+            seen, stack = set(), list(tops)
+            while stack:
+                i = stack.pop()
+                seen.add(i)
+                stack.extend(below.get(i, ()))
+            rest = [i for i in range(len(self.nodes)) if i not in seen]
+            number = {i: k for k, i in enumerate(rest)}
+            state_of = self.loops([number[at[self.parents[i]]] for i in rest])
+            for k, i in enumerate(rest):
+                yield self.nodes[i], self.parents[i], state_of[k], self.nodes[i], "", 0, []
+
+
+class _Writer:
+    """Contracted rows as batches of a bounded number of values."""
+
+    def __init__(self, flush: int):
+        self.flush = flush
+        self.clear()
+
+    def clear(self) -> None:
+        self.columns: list[list] = [[] for _ in _OUT.names[:-1]]
+        self.offsets, self.values = [0], []
+
+    def batch(self) -> pa.RecordBatch:
+        arrays = [pa.array(c, f.type) for c, f in zip(self.columns, _OUT)]
+        arrays.append(pa.ListArray.from_arrays(pa.array(self.offsets, pa.int32()), pa.array(self.values, pa.string())))
+        self.clear()
+        return pa.RecordBatch.from_arrays(arrays, schema=_OUT)
+
+    def add(self, tree: int, rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        for *row, path in rows:
+            for c, v in zip(self.columns, (tree, *row)):
+                c.append(v)
+            self.values.extend(path)
+            self.offsets.append(len(self.values))
+            if len(self.values) + len(self.offsets) > self.flush:
+                yield self.batch()
+
+
+def _local(paths: bool, flush: int = 200_000):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (tree, node, parent, steps, part, root), those of a tree together, to contracted rows."""
+        out, tree, fragment = _Writer(flush), None, Fragment()
+        for batch in batches:
+            for t, node, parent, steps, part, root in zip(*(c.to_pylist() for c in batch.columns)):
+                if t != tree:
+                    yield from out.add(tree, fragment.contract(paths))
+                    tree, fragment = t, Fragment()
+                fragment.nodes.append(node)
+                fragment.parents.append(parent)
+                fragment.steps.append(steps)
+                fragment.parts.append(part)
+                fragment.roots.append(root)
+        yield from out.add(tree, fragment.contract(paths))
+        yield out.batch()
+
+    return run
+
+
+def _climb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (tree, top, node, parent, entry), those of a top together: the nodes between the entries and the top."""
+    found: list[tuple[int, str]] = []
+
+    def walk(tree: int | None, parents: dict[str, str | None], entries: list[str]) -> None:
+        seen = set()
+        for node in entries:
+            while node in parents and node not in seen:
+                seen.add(node)
+                node = parents[node]
+        found.extend((tree, n) for n in seen)
+
+    key, parents, entries = (None, None), {}, []
     for batch in batches:
-        for tree, part, is_whole, node, parent in zip(*(c.to_pylist() for c in batch.columns)):
-            if (tree, part) != key:
-                for row in contract(fragment, whole):
-                    for c, v in zip(columns, (key[0], *row)):
-                        c.append(v)
-                    size += 1 + len(row[4])
-                    if size > flush:
-                        yield packed()
-                        size = 0
-                key, fragment, whole = (tree, part), {}, is_whole
-            fragment[node] = parent
-    for row in contract(fragment, whole):
-        for c, v in zip(columns, (key[0], *row)):
-            c.append(v)
-        size += 1 + len(row[4])
-        if size > flush:
-            yield packed()
-            size = 0
-    yield packed()
-
-
-def _contracted(edges: DataFrame, fragments: DataFrame | None, n: int) -> DataFrame:
-    """edges (tree, node, parent); fragments (tree, parts) of the trees that have more than one."""
-    if fragments is None:
-        rows = edges.select("tree", F.lit(0).alias("part"), F.lit(True).alias("whole"), "node", "parent")
-    else:
-        rows = edges.join(fragments, "tree", "left").select(
-            "tree", F.expr("if(parts IS NULL, 0L, pmod(xxhash64(node), parts))").cast("int").alias("part"), F.col("parts").isNull().alias("whole"), "node", "parent"
-        )
-    return rows.repartition(n, "tree", "part").sortWithinPartitions("tree", "part").mapInArrow(_local, _OUT_DDL)
-
-
-def _too_large(edges: DataFrame, fragment_rows: int) -> DataFrame:
-    return edges.groupBy("tree").agg(F.count("*").alias("rows")).where(F.col("rows") > fragment_rows).select("tree", F.expr(f"bigint(ceil(rows / {fragment_rows}))").alias("parts"))
-
-
-def _solve_quotient(spark: SparkSession, stage: Stage, quotient: DataFrame, fragment_rows: int) -> DataFrame:
-    """quotient (tree, node, parent, segment) to (tree, node, state, prefix).
-
-    ``segment``: the local path above the node, from the parent's top on. ``prefix``: all of the path above the node.
-    """
-    if _too_large(quotient, fragment_rows).isEmpty():
-        solved = _contracted(quotient.select("tree", "node", "parent"), None, partitions(spark))
-        above = solved.where(F.col("state") == ROOT).select("tree", "node", F.posexplode("path").alias("at", "step"))
-        joined = above.join(quotient.select("tree", F.col("node").alias("step"), "segment"), ["tree", "step"])
-        prefix = joined.groupBy("tree", "node").agg(F.expr("flatten(transform(sort_array(collect_list(struct(at, segment))), x -> x.segment))").alias("prefix"))
-        return solved.select("tree", "node", "state").join(prefix, ["tree", "node"], "left").withColumn("prefix", F.coalesce("prefix", F.expr("array()").cast("array<string>")))
-    # Doubling: each round replaces the parent by the parent's parent; what reaches a root is done.
-    most = quotient.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
-    state = stage.put(quotient.select("tree", "node", F.col("parent").alias("to"), F.col("segment").alias("prefix")))
-    for _ in range(int(most).bit_length() + 1):
-        if state.where(F.col("to").isNotNull()).isEmpty():
-            break
-        up = state.select("tree", F.col("node").alias("to"), F.col("to").alias("further"), F.col("prefix").alias("more"))
-        nxt = stage.put(state.join(up, ["tree", "to"], "left").select("tree", "node", F.col("further").alias("to"), F.expr("if(further IS NULL AND more IS NULL, prefix, concat(more, prefix))").alias("prefix")))
-        stage.drop(state)
-        state = nxt
-    # What still has a parent is on a loop or runs into one. A node on a loop is one that some other such node reaches after any number of steps.
-    on = state.where(F.col("to").isNotNull()).select("tree", F.col("to").alias("node")).distinct().withColumn("on_loop", F.lit(True))
-    return state.join(on, ["tree", "node"], "left").select("tree", "node", F.expr(f"CASE WHEN to IS NULL THEN {ROOT} WHEN on_loop THEN {LOOP} ELSE {TAIL} END").alias("state"), "prefix")
-
-
-def hierarchy(df: DataFrame, tree: str, node: str, parent: str, fragment_rows: int = 50_000) -> DataFrame:
+        for tree, top, node, parent, entry in zip(*(c.to_pylist() for c in batch.columns)):
+            if (tree, top) != key:
+                walk(key[0], parents, entries)
+                key, parents, entries = (tree, top), {}, []
+            parents[node] = parent
+            if entry:
+                entries.append(node)
+    walk(key[0], parents, entries)
+    yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in found], pa.int64()), pa.array([n for _, n in found], pa.string())], names=["tree", "node"])
+
+
+_NO_PATH = "array()"
+
+
+def _by_id() -> list[Column]:
+    """Neighbours in the order of ids: numbers within ids run as numbers when shorter ids come first."""
+    return [F.col("tree"), F.length("node"), F.col("node")]
+
+
+def _by_coin(level: int) -> list[Column]:
+    """Each node beside its parent if it shows tails and the parent heads. A parent with very many children is cut by the ids of the children."""
+    heads = lambda c: F.pmod(F.xxhash64("tree", c, F.lit(level)), F.lit(2)) == 0
+    beside = F.when(F.col("parent").isNotNull() & ~heads("node") & heads("parent"), F.col("parent")).otherwise(F.col("node"))
+    return [F.col("tree"), beside, F.when(beside == F.col("node"), F.lit("")).otherwise(F.col("node"))]
+
+
+def _solve(rows: DataFrame, stage: Stage, n: int, width: int, fragment_rows: int, paths: bool, trace: list, closeness: bool = True) -> DataFrame:
+    """Staged rows (tree, node, parent, steps, part, root) to (tree, node, state, root, steps, path); state is ROOT, LOOP or TAIL."""
+    level = len(trace)
+    order = _by_id() if closeness else _by_coin(level)
+    fragments = max(width, -(-n // fragment_rows))
+    ranged = rows.repartitionByRange(fragments, *order).sortWithinPartitions("tree")
+    local = stage.put(ranged.select("tree", "node", "parent", "steps", "part", "root").mapInArrow(_local(paths), _OUT_DDL))
+    inside = local.where(F.col("state") != EXIT).select("tree", "node", "state", "root", "steps", "path")
+    exits = local.where((F.col("state") == EXIT) & (F.col("top") == F.col("node"))).select("tree", F.col("node").alias("exit"), F.col("parent").alias("above"), F.col("root").alias("own"))
+    at = local.select("tree", F.col("node").alias("above"), "state", "top", "root", "steps", "path")
+    # Where each exit leads: to nothing (a root after all), into a solved chain, into a loop, or to another exit.
+    led = stage.put(exits.join(at, ["tree", "above"], "left").select(
+        "tree", "exit", "above",
+        F.expr(f"CASE WHEN state IS NULL THEN {ROOT} WHEN state < 0 THEN {TAIL} ELSE state END").alias("state"),
+        F.expr(f"if(state = {EXIT}, top, NULL)").alias("to"),
+        F.coalesce(F.when(F.col("state").isNull(), F.col("own")), F.col("root"), F.lit("")).alias("root"),
+        F.expr("CASE WHEN state IS NULL THEN 0 WHEN state < 0 THEN -1 ELSE steps END").alias("steps"), F.expr(f"coalesce(path, {_NO_PATH})").alias("part"),
+    ))
+    open_ = led.where(F.col("state") == EXIT)
+    asked = open_.select("tree", F.col("to").alias("exit")).distinct()
+    quotient = stage.put(led.join(asked, ["tree", "exit"], "left_semi").select(
+        "tree", F.col("exit").alias("node"), F.col("to").alias("parent"), "steps", "part", F.when(F.col("to").isNull(), F.col("root")).alias("root"),
+    ))
+    counts = led.agg(F.count("*")).first()[0]
+    size = quotient.count() if counts else 0
+    trace.append({"rows": n, "fragments": fragments, "exits": counts, "quotient": size})
+    told = led.where(F.col("state") != EXIT).select("tree", F.col("exit").alias("top"), F.col("state").alias("s"), F.col("root").alias("r"), F.col("steps").alias("n"), F.col("part").alias("p"))
+    on_loop = None
+    if size:
+        solved = stage.put(_solve(quotient, stage, size, 1, fragment_rows, paths, trace, size * 2 <= n))
+        of = solved.select("tree", F.col("node").alias("to"), F.expr(f"if(state = {ROOT}, {ROOT}, {TAIL})").alias("s"), F.col("root").alias("r"), F.col("steps").alias("n"), F.col("path").alias("p"))
+        told = told.unionByName(open_.join(of, ["tree", "to"]).select(
+            "tree", F.col("exit").alias("top"), "s", "r", (F.col("n") + F.col("steps")).alias("n"), F.concat("p", "part").alias("p"),
+        ))
+        loops = stage.put(open_.join(solved.where(F.col("state") == LOOP).select("tree", F.col("node").alias("exit")), ["tree", "exit"], "left_semi").select("tree", F.col("to").alias("top"), F.col("above").alias("node")))
+        if not loops.isEmpty():
+            # The rows of the fragments that a global loop runs through; those of a top lie in one fragment.
+            parts = local.join(loops.select("tree", "top").distinct(), ["tree", "top"], "left_semi")
+            marked = parts.join(loops.select("tree", "node", F.lit(True).alias("entry")).distinct(), ["tree", "node"], "left")
+            marked = marked.select("tree", "top", "node", F.when(F.col("node") != F.col("top"), F.col("parent")).alias("parent"), F.coalesce("entry", F.lit(False)).alias("entry"))
+            on_loop = stage.put(marked.repartition("tree", "top").sortWithinPartitions("tree", "top").mapInArrow(_climb, "tree bigint, node string"))
+    outside = local.where(F.col("state") == EXIT).select("tree", "node", "top", "steps", "path").join(told, ["tree", "top"])
+    outside = outside.select("tree", "node", F.col("s").alias("state"), F.col("r").alias("root"), (F.col("n") + F.col("steps")).alias("steps"), F.concat("p", "path").alias("path"))
+    if on_loop is not None:
+        outside = outside.join(on_loop.withColumn("on", F.lit(True)), ["tree", "node"], "left").withColumn("state", F.expr(f"if(on, {LOOP}, state)")).drop("on")
+    return inside.unionByName(outside)
+
+
+def hierarchy(df: DataFrame, tree: str, node: str, parent: str, fragment_rows: int = 50_000, paths: bool = True, trace: list | None = None) -> DataFrame:
     """(tree, node, root_id, depth, path) for every distinct (tree, node).
 
     * A node without parent, or whose parent (NULL, '' or unknown) is not in the tree, is a root of depth 0.
-    * ``path`` is the array of ids from root to node.
+    * ``path`` is the array of ids from root to node. The paths of a chain are quadratic in its length; without ``paths`` there is no such column and the work is linear.
     * On a loop depth is -1, in a chain that runs into a loop -2; root_id is '' and path empty.
     * If a node comes with several parents the smallest non-NULL one counts; repeated rows count once.
     * Rows with a NULL tree or node are no nodes. An empty table gives an empty one. Other columns are not read.
+    * ``trace`` gets one entry for each contraction: rows, fragments, exits and rows of the quotient.
     """
     spark = df.sparkSession
     stage = Stage(spark, "hierarchy")
     rows = df.select(df[tree].cast("bigint").alias("tree"), df[node].cast("string").alias("node"), df[parent].cast("string").alias("parent"))
     edges = stage.put(rows.where("tree IS NOT NULL AND node IS NOT NULL").groupBy("tree", "node").agg(F.min("parent").alias("parent")))
-    large = _too_large(edges, fragment_rows)
-    none = F.expr("array()").cast("array<string>")
-    if large.isEmpty():
-        local = _contracted(edges, None, partitions(spark))
-        return local.select("tree", "node", F.coalesce("top", F.lit("")).alias("root_id"), F.expr("if(state < 0, state, size(path) - 1)").alias("depth"), "path")
-
-    local = stage.put(_contracted(edges, stage.put(large), partitions(spark)))
-    tops = local.where((F.col("state") == EXIT) & (F.col("top") == F.col("node"))).select("tree", F.col("node").alias("exit"), F.col("leaves_to").alias("above"))
-    at = local.select("tree", F.col("node").alias("above"), F.col("state").alias("s"), F.col("top").alias("t"), F.col("path").alias("p"))
-    found = stage.put(tops.join(at, ["tree", "above"], "left"))
-    # Quotient nodes: exits, and the tops of fragments that are roots already.
-    exits = found.select("tree", F.col("exit").alias("node"), F.expr(f"if(s IN ({ROOT}, {EXIT}), t, NULL)").alias("parent"), F.coalesce("p", none).alias("segment"), F.coalesce(F.col("s") < 0, F.lit(False)).alias("to_loop"))
-    ends = exits.where("NOT to_loop AND parent IS NOT NULL").select("tree", F.col("parent").alias("node")).distinct().join(exits.select("tree", "node"), ["tree", "node"], "left_anti")
-    quotient = stage.put(exits.select("tree", "node", "parent", "segment", "to_loop").unionByName(ends.select("tree", "node", F.lit(None).cast("string").alias("parent"), none.alias("segment"), F.lit(False).alias("to_loop"))))
-    solved = stage.put(_solve_quotient(spark, stage, quotient.drop("to_loop"), fragment_rows))
-    # An exit that ends in a local loop spoils all exits whose chain ends in it; it is the root of its quotient tree.
-    chain_root = found.where("s < 0").select("tree", F.col("exit").alias("r")).distinct()
-    # On a global loop are the local paths between the loop's exits.
-    on_loop = solved.where(F.col("state") == LOOP).select("tree", "node").join(exits, ["tree", "node"]).select("tree", F.explode("segment").alias("node")).distinct().withColumn("on_loop", F.lit(True))
-    first = solved.join(exits.select("tree", "node", "to_loop"), ["tree", "node"], "left")
-    whole = first.select("tree", F.col("node").alias("top"), F.col("state").alias("q"), "prefix", F.coalesce("to_loop", F.lit(False)).alias("to_loop"))
-    joined = local.join(whole, ["tree", "top"], "left").join(on_loop, ["tree", "node"], "left")
-    full = joined.select(
-        "tree", "node",
-        F.expr(f"CASE WHEN state < 0 THEN state WHEN on_loop THEN {LOOP} WHEN q < 0 OR to_loop THEN {TAIL} ELSE 0 END").alias("st"),
-        F.concat(F.coalesce("prefix", none), "path").alias("path"),
-        F.col("top"),
-    )
-    # Chains whose quotient root leaves into a local loop.
-    head = full.select("tree", "node", "st", "path", F.expr("get(path, 0)").alias("r"))
-    bad = chain_root.withColumn("spoilt", F.lit(True))
-    out = head.join(bad, ["tree", "r"], "left").withColumn("st", F.expr(f"if(st = 0 AND spoilt, {TAIL}, st)"))
-    return out.select("tree", "node", F.expr("if(st < 0, '', get(path, 0))").alias("root_id"), F.expr("if(st < 0, st, size(path) - 1)").alias("depth"), F.when(F.col("st") < 0, none).otherwise(F.col("path")).alias("path"))
+    own = edges.select("tree", "node", "parent", F.lit(1).cast("bigint").alias("steps"), F.lit(None).cast("array<string>").alias("part"), F.lit(None).cast("string").alias("root"))
+    out = _solve(own, stage, edges.count(), partitions(spark), fragment_rows, paths, [] if trace is None else trace)
+    good = F.col("state") == ROOT
+    out = out.select("tree", "node", F.when(good, F.col("root")).otherwise("").alias("root_id"), F.when(good, F.col("steps") - 1).otherwise(F.col("state")).cast("int").alias("depth"), F.when(good, F.col("path")).otherwise(F.expr(_NO_PATH)).alias("path"))
+    return out if paths else out.drop("path")
 
 
 def descendants(nodes: DataFrame) -> DataFrame:

@@ -3,7 +3,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators.hierarchy import contract, descendants, hierarchy
+from graphloom.functions.diagrams import nested_cells
+from graphloom.operators.hierarchy import Fragment, descendants, hierarchy
+from graphloom.session import table
 
 SCHEMA = "tree bigint, node string, parent string, path string"
 
@@ -48,7 +50,7 @@ def random_rows(seed, nodes=60):
     return rows
 
 
-@pytest.mark.parametrize("fragment_rows", [3, 17, 10_000])
+@pytest.mark.parametrize("fragment_rows", [9, 10_000])
 def test_random_forests_with_loops(spark, fragment_rows):
     rows = random_rows(fragment_rows)
     assert solve(spark, rows, fragment_rows) == brute(rows)
@@ -72,6 +74,57 @@ def test_descendants(spark):
     assert rows == {(1, "a", "b", 1), (1, "a", "c", 2), (1, "b", "c", 1)}
 
 
+def fragment_of(rows):
+    f = Fragment()
+    for n, p in rows:
+        f.nodes.append(n), f.parents.append(p), f.steps.append(1), f.parts.append(None), f.roots.append(None)
+    return f
+
+
 def test_contract_marks_exits():
-    out = {n: (s, top, to) for n, s, top, to, _ in contract({"b": "a", "c": "b"}, whole=False)}
-    assert out == {"b": (1, "b", "a"), "c": (1, "b", "a")}
+    out = {n: (s, top, list(path)) for n, _, s, top, _, _, path in fragment_of([("b", "a"), ("c", "b")]).contract(True)}
+    assert out == {"b": (1, "b", ["b"]), "c": (1, "b", ["b", "c"])}
+
+
+def test_contract_of_a_long_chain_is_linear():
+    n = 200_000
+    rows = fragment_of([(f"c{i}", f"c{i - 1}" if i else None) for i in range(n)]).contract(False)
+    assert sum(steps == int(node[1:]) + 1 for node, _, _, _, _, steps, _ in rows) == n
+
+
+def test_ids_that_say_nothing_about_closeness(spark):
+    """A chain in random order of ids: contracted by coins, level by level, each smaller than the one before."""
+    rng, n = random.Random(5), 600
+    ids = [f"{x:04}" for x in rng.sample(range(10_000), n)]
+    rows = [(1, ids[i], ids[i - 1] if i else None) for i in range(n)] + [(2, "a", "b"), (2, "b", "a"), (2, "c", "b")]
+    df = spark.createDataFrame(rows, "tree bigint, node string, parent string")
+    trace = []
+    out = hierarchy(df, "tree", "node", "parent", fragment_rows=60, trace=trace)
+    got = {(r.tree, r.node): (r.root_id, r.depth, r.p) for r in out.select("tree", "node", "root_id", "depth", F.array_join("path", "/").alias("p")).collect()}
+    assert got == brute(rows)
+    assert len(trace) > 3 and all(b["rows"] < a["rows"] for a, b in zip(trace, trace[1:]))
+
+
+def test_global_loop_over_many_fragments(spark):
+    n = 200
+    rows = [(1, f"l{i:03}", f"l{(i + 1) % n:03}") for i in range(n)] + [(1, f"m{i:03}", f"l{i:03}") for i in range(n)] + [(1, "r", None), (1, "s", "r")]
+    assert solve(spark, rows, 20) == brute(rows)
+
+
+def test_without_paths(spark):
+    rows = random_rows(9)
+    df = spark.createDataFrame(rows, "tree bigint, node string, parent string")
+    out = hierarchy(df, "tree", "node", "parent", fragment_rows=7, paths=False)
+    assert out.columns == ["tree", "node", "root_id", "depth"]
+    assert {(r.tree, r.node): (r.root_id, r.depth) for r in out.collect()} == {k: v[:2] for k, v in brute(rows).items()}
+
+
+def test_quotient_is_solved_on_the_test_tables(spark):
+    """The ranges cut diagrams of the test table apart, so its hierarchy comes out of fragments, exits and a quotient."""
+    cells = nested_cells(table(spark, "/root/testdata/sf0.001", "diagrams"), "diagram_id", "xml_content").select(F.col("doc_key").alias("tree"), F.inline("cells"))
+    rows = [tuple(r) for r in cells.select("tree", "id", "parent").distinct().collect()]
+    trace = []
+    out = hierarchy(cells, "tree", "id", "parent", fragment_rows=40, trace=trace)
+    got = {(r.tree, r.node): (r.root_id, r.depth, r.p) for r in out.select("tree", "node", "root_id", "depth", F.array_join("path", "/").alias("p")).collect()}
+    assert got == brute(rows)
+    assert trace[0]["exits"] > 0 and trace[0]["quotient"] > 0 and len(trace) > 1
