@@ -28,7 +28,8 @@ def _flat(record_kind: str):
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = nested_cells(table(spark, sf_dir, "diagrams"), "diagram_id", "xml_content").select(F.col("doc_key").alias("diagram_id"), F.inline("cells"))
-    return hierarchy(cells.select("diagram_id", "id", "parent"), "diagram_id", "id", "parent")
+    # A cell without parent attribute, or with an empty one, has no parent, even beside a cell without id.
+    return hierarchy(cells.select("diagram_id", "id", F.nullif("parent", F.lit("")).alias("parent")), "diagram_id", "id", "parent")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
