@@ -1,24 +1,33 @@
 """Near-duplicate records with small edits: a byte-position inverted index with count filtering.
 
-Every word of a record hashes to a *positional byte*: a position (32 bits) and
-the byte that stands there. The inverted index lists, for each positional byte,
-the records that have it. Two records whose word sets have a similarity of at
-least ``threshold`` share at least ``threshold * size`` words, so among the
-rarest ``size - needed + matches`` positional bytes of each they share at least
-``matches``. Only those are indexed; the shared ones are tallied per pair, pairs
+A record has a signature of ``POSITIONS`` bytes. Each of its words hashes to a
+position and to a byte; the byte at a position is the XOR of the bytes of the
+words that fall there, so nearly all positions are empty and a signature is
+kept as the list of its positional bytes (position * 256 + byte). The inverted
+index lists, for each positional byte, the records that have it.
+
+Where the guarantee comes from: an edit of one word touches one position. Sets
+with |common| / |union| >= t differ in at most (1 - t) * |union| words, and
+|union| <= n / t for a set of n words, so at least ``need`` = positions in use -
+(1 - t) / t * n positional bytes are shared. Among the ``used - need + matches``
+globally rarest ones of each of the two records at least ``matches`` are then
+shared. Only those are indexed. The shared ones are tallied per pair, pairs
 below the guaranteed minimum are dropped, and the rest are verified on the words
-themselves. No pair is lost, and common words never become index keys unless a
-record has nothing else.
+themselves. A record whose words fall on so few positions that nothing is
+guaranteed is held against all records of its size. No pair is lost.
 
+Frequencies are exact. A posting is first cut by size class, since similar sets
+have similar sizes, and one that is still longer than ``BLOCK`` entries into
+blocks that meet block by block, so no posting is the work of one task.
 Records with equal word sets are one class before the index is built, so a
-group of copies is one entry. Two words of a record may fall on one positional
-byte; the minimum is lowered by the number of such collisions.
+group of copies is one entry.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,8 +44,12 @@ _MARKUP = re.compile(r"</?[A-Za-z!][^<>\x00]*>")
 _WORD = re.compile(r"[^\W_]+")
 EMPTY_MD5 = "d41d8cd98f00b204e9800998ecf8427e"
 
-#: Positional bytes that are looked up as frequent; bounds a broadcast table.
-FREQUENT_KEYS = 50_000
+#: Bytes of a signature; a power of two.
+POSITIONS = 1 << 20
+#: Entries of a posting, or members of a group, that meet in one piece.
+BLOCK = 1000
+#: A positional byte in more than this share of all entries is looked up in a broadcast table, which so has at most 10,000 rows.
+HOT_SHARE = 1e-4
 
 
 def label_words(text: str | None) -> list[str]:
@@ -56,6 +69,16 @@ def label_words(text: str | None) -> list[str]:
     return sorted(set(_WORD.findall(_MARKUP.sub(" ", joined).lower())))
 
 
+def signature(words: list[str]) -> list[int]:
+    """The positional bytes of a set of words, sorted; all words count, those that share a position by the XOR of their bytes."""
+    at: dict[int, int] = {}
+    for w in words:
+        h = zlib.crc32(w.encode("utf-8", "surrogatepass"))
+        position, byte = h & (POSITIONS - 1), (h >> 20 ^ len(w) * 31) & 255
+        at[position] = at.get(position, 0) ^ byte
+    return sorted(p << 8 | b for p, b in at.items())
+
+
 def word_sets(df: DataFrame, key: str, xml: str) -> DataFrame:
     """(id, words) of every distinct key."""
 
@@ -68,6 +91,35 @@ def word_sets(df: DataFrame, key: str, xml: str) -> DataFrame:
     return source.mapInArrow(run, "id bigint, words array<string>").groupBy("id").agg(F.max("words").alias("words"))
 
 
+def signatures(sets: DataFrame) -> DataFrame:
+    """(id, n, bytes) of every set: its number of words and its positional bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            words = batch.column(1).to_pylist()
+            own = pa.array([signature(w) for w in words], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(w) for w in words], pa.int32()), own], names=["id", "n", "bytes"])
+
+    return sets.where("size(words) > 0").select("id", "words").mapInArrow(run, "id bigint, n int, bytes array<int>")
+
+
+def met(members: DataFrame, keys: list[str], stage: Stage, block: int = BLOCK) -> DataFrame:
+    """All ordered pairs of members with equal keys; columns of the two end in _a and _b.
+
+    ``members`` has ``id`` besides the keys. A group of more than ``block`` members is cut into blocks by a
+    hash of the id, and each pair of blocks is a join key of its own.
+    """
+    members = stage.put(members)
+    long = members.groupBy(*keys).agg(F.count("*").alias("size")).where(F.col("size") > block).select(*keys, F.ceil(F.col("size") / block).cast("int").alias("blocks"))
+    cut = members.join(stage.put(long), keys, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    cut = stage.put(cut.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks"))
+    rest = [c for c in members.columns if c not in keys]
+    left = cut.select(*keys, F.col("own").alias("i"), F.col("other").alias("j"), *[F.col(c).alias(f"{c}_a") for c in rest])
+    right = cut.select(*keys, F.col("other").alias("i"), F.col("own").alias("j"), *[F.col(c).alias(f"{c}_b") for c in rest])
+    return left.join(right, [*keys, "i", "j"])
+
+
 def classes_of(sets: DataFrame) -> DataFrame:
     """(id, rep): records with equal, non-empty word sets share the smallest id of the class."""
     keyed = sets.where("size(words) > 0").select("id", F.sha2(F.array_join("words", " "), 256).alias("set_key"))
@@ -75,36 +127,51 @@ def classes_of(sets: DataFrame) -> DataFrame:
     return keyed.join(rep, "set_key").select("id", "rep")
 
 
-def similar_sets(sets: DataFrame, threshold: float, matches: int = 2) -> DataFrame:
-    """(a, b), a != b: pairs of ids of different word sets with similarity >= threshold, each once.
+def _by_rarity(coded: DataFrame) -> DataFrame:
+    """(id, n, used, bytes): the positional bytes of each record, globally rarest first."""
+    entries = coded.select("id", "n", F.explode("bytes").alias("key"))
+    counts = entries.groupBy("key").agg(F.count("*").alias("df"))
+    least = (coded.agg(F.sum(F.size("bytes"))).first()[0] or 0) * HOT_SHARE
+    hot = F.broadcast(counts.where(F.col("df") > least).select("key", F.col("df").alias("hot")))  # at most 1 / HOT_SHARE rows
+    marked = entries.join(hot, "key", "left")
+    cold = marked.where("hot IS NULL").drop("hot").join(counts.where(F.col("df") <= least), "key")
+    ranked = marked.where("hot IS NOT NULL").withColumnRenamed("hot", "df").unionByName(cold)
+    return ranked.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("bytes")).withColumn("used", F.size("bytes"))
+
+
+def similar_sets(sets: DataFrame, threshold: float, stage: Stage, matches: int = 2, block: int = BLOCK) -> DataFrame:
+    """(a, b), a < b: pairs of ids of different word sets with similarity >= threshold, each once.
 
     ``sets`` (id, words): every id once, words distinct. Empty sets match nothing.
     """
-    coded = sets.where("size(words) > 0").select("id", F.size("words").alias("n"), F.expr("array_distinct(transform(words, w -> xxhash64(w) & 1099511627775L))").alias("codes"))
-    entries = coded.select("id", "n", F.size("codes").alias("m"), F.explode("codes").alias("code"))
-    total = sets.select(F.sum(F.size("words"))).first()[0] or 0
-    common = max(8, total // FREQUENT_KEYS)  # at most FREQUENT_KEYS keys are that frequent
-    frequent = entries.groupBy("code").agg(F.count("*").alias("df")).where(F.col("df") > common)
-    ordered = (
-        entries.join(F.broadcast(frequent), "code", "left")
-        .groupBy("id")
-        .agg(F.first("n").alias("n"), F.first("m").alias("m"), F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "code"))).alias("codes"))
-        .withColumn("need", F.expr(f"greatest(1, int(ceil({threshold}D * n - 1e-9D)) - (n - m))"))
+    coded = stage.put(signatures(sets))
+    ordered = stage.put(
+        _by_rarity(coded)
+        .withColumn("need", F.expr(f"used - int(floor({(1 - threshold) / threshold}D * n + 1e-9D))"))
         .withColumn("floor", F.expr(f"least({matches}, need)"))
+        .withColumn("class", F.expr(f"int(floor(ln(n) / ln({1 / threshold}D) + 1e-9D))"))
     )
-    index = ordered.select("id", "n", "floor", F.explode(F.expr("slice(codes, 1, m - need + floor)")).alias("c")).select("id", "n", "floor", F.col("c.code").alias("code"))
-    left, right = (index.select(*[F.col(c).alias(c + s) for c in ("id", "n", "floor")], "code") for s in ("_a", "_b"))
-    order = F.struct("n_a", "id_a") < F.struct("n_b", "id_b")
+    index = ordered.where("need > 0").select("id", "n", "used", "floor", "class", F.posexplode(F.expr("slice(bytes, 1, used - need + floor)")).alias("at", "c"))
+    # The larger set of a pair is in the class of the smaller or in the next, where the smaller one is a guest.
+    index = index.select("id", "n", "used", "floor", "at", F.col("c.key").alias("key"), F.explode(F.expr("array(struct(class AS class, false AS guest), struct(class + 1 AS class, true AS guest))")).alias("x"))
+    pairs = met(index.select("id", "n", "used", "floor", "at", "key", F.col("x.class").alias("class"), F.col("x.guest").alias("guest")), ["key", "class"], stage, block)
+    smaller = F.struct("n_a", "id_a") < F.struct("n_b", "id_b")
+    # What can still be shared: one, those before it, and those after it in both.
+    most = F.least("at_a", "at_b") + 1 + F.least(F.col("used_a") - F.col("at_a"), F.col("used_b") - F.col("at_b")) - 1
+    edits = F.expr(f"int(floor({(1 - threshold) / (1 + threshold)}D * (n_a + n_b) + 1e-9D))")
+    close = smaller & ~F.col("guest_b") & (F.col("n_a") >= F.lit(threshold) * F.col("n_b") - 1e-9) & (most >= F.greatest("used_a", "used_b") - edits)
     tally = (
-        left.join(right, "code")
-        .where(order & (F.col("n_a") >= F.lit(threshold) * F.col("n_b") - 1e-9))
-        .groupBy("id_a", "id_b")
+        pairs.where(close).groupBy("id_a", "id_b")
         .agg(F.count("*").alias("shared"), F.min(F.least("floor_a", "floor_b")).alias("floor"))
-        .where("shared >= floor")
+        .where("shared >= floor").select("id_a", "id_b")
     )
+    # Without a guarantee: all records of a size that could be similar.
+    sized = coded.select("id", "n")
+    blind = ordered.where("need <= 0").select(F.col("id").alias("x"), F.col("n").alias("nx"), F.explode(F.expr(f"sequence(int(ceil({threshold}D * n - 1e-9D)), int(floor(n / {threshold}D + 1e-9D)))")).alias("n"))
+    rest = blind.join(sized, "n").where("x != id").select(F.least("x", "id").alias("id_a"), F.greatest("x", "id").alias("id_b"))
     a, b = (sets.select(F.col("id").alias(f"id_{s}"), F.col("words").alias(f"words_{s}")) for s in "ab")
-    both = tally.join(a, "id_a").join(b, "id_b").withColumn("common", F.size(F.array_intersect("words_a", "words_b")))
-    return both.where(F.expr(f"common >= {threshold}D * (size(words_a) + size(words_b) - common) - 1e-9D")).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
+    both = tally.unionByName(rest.distinct()).join(a, "id_a").join(b, "id_b").withColumn("common", F.size(F.array_intersect("words_a", "words_b")))
+    return both.where(F.expr(f"common >= {threshold}D * (size(words_a) + size(words_b) - common) - 1e-9D")).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
 
 def image_hashes(diagrams: DataFrame, sample_meta: DataFrame) -> DataFrame:
@@ -124,21 +191,20 @@ def near_duplicates(spark: SparkSession, diagrams: DataFrame, sample_meta: DataF
     sets = stage.put(word_sets(diagrams, "diagram_id", "xml_content"))
     classes = stage.put(classes_of(sets))
     reps = sets.join(classes.where("id = rep").select("id"), "id", "left_semi")
-    return classes, stage.put(similar_sets(stage.put(reps), threshold)), stage.put(image_hashes(diagrams, sample_meta)), stage
+    return classes, stage.put(similar_sets(stage.put(reps), threshold, stage)), stage.put(image_hashes(diagrams, sample_meta)), stage
 
 
-def _pairs_within(members: DataFrame, group: str) -> DataFrame:
+def _pairs_within(members: DataFrame, group: str, stage: Stage) -> DataFrame:
     """All pairs a < b of a group's members; for results whose definition asks for them."""
-    a, b = members.select(group, F.col("id").alias("a")), members.select(group, F.col("id").alias("b"))
-    return a.join(b, group).where("a < b").select("a", "b")
+    return met(members.select(group, "id"), [group], stage).where("id_a < id_b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of near-duplicate diagrams, copies expanded as the definition asks."""
-    classes, links, hashes, _ = near_duplicates(spark, table(spark, sf_dir, "diagrams"), table(spark, sf_dir, "sample_meta"))
+    classes, links, hashes, stage = near_duplicates(spark, table(spark, sf_dir, "diagrams"), table(spark, sf_dir, "sample_meta"))
     a, b = (classes.select(F.col("rep").alias(s), F.col("id").alias(f"id_{s}")) for s in "ab")
     across = links.join(a, "a").join(b, "b").select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
-    pairs = across.unionByName(_pairs_within(classes, "rep")).unionByName(_pairs_within(hashes, "hash"))
+    pairs = across.unionByName(_pairs_within(classes, "rep", stage)).unionByName(_pairs_within(hashes, "hash", stage))
     return pairs.distinct().select(F.col("a").alias("diagram_id_a"), F.col("b").alias("diagram_id_b"))
 
 

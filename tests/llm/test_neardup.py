@@ -5,6 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from graphloom.llm import neardup as nd
+from graphloom.staging import Stage
 
 
 def brute(sets, t):
@@ -12,9 +13,11 @@ def brute(sets, t):
     return {(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if sets[a] and sets[b] and len(sets[a] & sets[b]) >= t * len(sets[a] | sets[b]) - 1e-9}
 
 
-def similar(spark, sets, t, matches=2):
+def similar(spark, sets, t, matches=2, block=nd.BLOCK):
     df = spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], "id bigint, words array<string>")
-    return {(r.a, r.b) for r in nd.similar_sets(df, t, matches).collect()}
+    rows = [(r.a, r.b) for r in nd.similar_sets(df, t, Stage(spark, "t"), matches, block).collect()]
+    assert len(rows) == len(set(rows))
+    return set(rows)
 
 
 def test_all_pairs_with_common_and_rare_words(spark):
@@ -30,9 +33,30 @@ def test_all_pairs_with_common_and_rare_words(spark):
             base = set(rng.sample(common, rng.randint(1, 10))) | {f"r{rng.randint(0, 400)}" for _ in range(rng.randint(0, 6))}
         sets[i] = frozenset(base or {"x"})
     sets[500] = frozenset()
-    for t in (0.5, 0.7, 0.9):
-        for m in (1, 2, 3):
-            assert similar(spark, sets, t, m) == brute(sets, t)
+    for t, m, block in ((0.5, 2, 7), (0.7, 1, 1000), (0.7, 2, 7), (0.9, 3, 1000)):
+        assert similar(spark, sets, t, m, block) == brute(sets, t)
+
+
+def test_signature_keeps_its_guarantee():
+    """Sets with few edits share at least as many positional bytes as the index counts on."""
+    rng = random.Random(8)
+    for _ in range(300):
+        a = {f"w{rng.randint(0, 10**6)}" for _ in range(rng.randint(1, 60))}
+        b = set(a)
+        for _ in range(rng.randint(0, 12)):
+            b ^= {rng.choice(sorted(a | {f"w{rng.randint(0, 10**6)}"}))}
+        if b and len(a & b) >= 0.7 * len(a | b):
+            x, y = nd.signature(sorted(a)), nd.signature(sorted(b))
+            for own, n in ((x, len(a)), (y, len(b))):
+                assert len(set(x) & set(y)) >= len(own) - int(0.3 / 0.7 * n + 1e-9)
+
+
+def test_words_that_share_positions_are_not_lost(spark, monkeypatch):
+    """With four positions nothing is guaranteed, and the records are held against all of their size."""
+    monkeypatch.setattr(nd, "signature", lambda words: sorted({sum(map(ord, w)) % 4 << 8 for w in words}))
+    rng = random.Random(3)
+    sets = {i: frozenset(f"w{rng.randint(0, 30)}" for _ in range(rng.randint(1, 25))) for i in range(40)}
+    assert similar(spark, {k: v for k, v in sets.items()}, 0.5) == brute(sets, 0.5)
 
 
 def diagram(*labels, tail=""):
@@ -59,7 +83,7 @@ def test_pairs_by_words_and_hash(spark, tmp_path):
 
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "id bigint, words array<string>")
-    assert nd.similar_sets(none, 0.7).count() == 0 and nd.classes_of(none).count() == 0
+    assert nd.similar_sets(none, 0.7, Stage(spark, "t")).count() == 0 and nd.classes_of(none).count() == 0
 
 
 @settings(max_examples=50, deadline=None)
