@@ -6,18 +6,20 @@ words that fall there, so nearly all positions are empty and a signature is
 kept as the list of its positional bytes (position * 256 + byte). The inverted
 index lists, for each positional byte, the records that have it.
 
-Where the guarantee comes from: an edit of one word touches one position. Sets
-with |common| / |union| >= t differ in at most (1 - t) * |union| words, and
-|union| <= n / t for a set of n words, so at least ``need`` = positions in use -
-(1 - t) / t * n positional bytes are shared. Among the ``used - need + matches``
-globally rarest ones of each of the two records at least ``matches`` are then
-shared. Only those are indexed. The shared ones are tallied per pair, pairs
-below the guaranteed minimum are dropped, and the rest are verified on the words
-themselves. A record whose words fall on so few positions that nothing is
+Where the guarantee comes from: of the positions a record uses, those of its
+words that the other one lacks are lost, at most (1 - t) * n of n words if
+|common| / |union| >= t; a word that only the other one has spoils a further
+position only if it shares it with another word there, so at most as often as
+words share positions in a record of such a size (``shared``, the largest number
+found in its size class and the two beside it, nearly always 0 or 1). At least
+``need`` = positions in use - (1 - t) * n - shared positional bytes are then
+common. Among the ``used - need + matches`` globally rarest ones of each of the
+two records at least ``matches`` are common. Only those are indexed. The common
+ones are tallied per pair, pairs below the guaranteed minimum are dropped, and
+the rest are verified on the words themselves. A record for which nothing is
 guaranteed is held against all records of its size. No pair is lost.
 
-Frequencies are exact. A posting is first cut by size class, since similar sets
-have similar sizes, and one that is still longer than ``BLOCK`` entries into
+Frequencies are exact. A posting of more than ``BLOCK`` entries is cut into
 blocks that meet block by block, so no posting is the work of one task.
 Records with equal word sets are one class before the index is built, so a
 group of copies is one entry.
@@ -45,7 +47,7 @@ _WORD = re.compile(r"[^\W_]+")
 EMPTY_MD5 = "d41d8cd98f00b204e9800998ecf8427e"
 
 #: Bytes of a signature; a power of two.
-POSITIONS = 1 << 20
+POSITIONS = 1 << 23
 #: Entries of a posting, or members of a group, that meet in one piece.
 BLOCK = 1000
 #: A positional byte in more than this share of all entries is looked up in a broadcast table, which so has at most 10,000 rows.
@@ -74,7 +76,7 @@ def signature(words: list[str]) -> list[int]:
     at: dict[int, int] = {}
     for w in words:
         h = zlib.crc32(w.encode("utf-8", "surrogatepass"))
-        position, byte = h & (POSITIONS - 1), (h >> 20 ^ len(w) * 31) & 255
+        position, byte = h & (POSITIONS - 1), h >> 23 & 255
         at[position] = at.get(position, 0) ^ byte
     return sorted(p << 8 | b for p, b in at.items())
 
@@ -109,11 +111,10 @@ def met(members: DataFrame, keys: list[str], stage: Stage, block: int = BLOCK) -
     ``members`` has ``id`` besides the keys. A group of more than ``block`` members is cut into blocks by a
     hash of the id, and each pair of blocks is a join key of its own.
     """
-    members = stage.put(members)
     long = members.groupBy(*keys).agg(F.count("*").alias("size")).where(F.col("size") > block).select(*keys, F.ceil(F.col("size") / block).cast("int").alias("blocks"))
     cut = members.join(stage.put(long), keys, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    cut = stage.put(cut.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks"))
+    cut = cut.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = [c for c in members.columns if c not in keys]
     left = cut.select(*keys, F.col("own").alias("i"), F.col("other").alias("j"), *[F.col(c).alias(f"{c}_a") for c in rest])
     right = cut.select(*keys, F.col("other").alias("i"), F.col("own").alias("j"), *[F.col(c).alias(f"{c}_b") for c in rest])
@@ -145,25 +146,26 @@ def similar_sets(sets: DataFrame, threshold: float, stage: Stage, matches: int =
     ``sets`` (id, words): every id once, words distinct. Empty sets match nothing.
     """
     coded = stage.put(signatures(sets))
+    size_class = F.expr(f"int(floor(ln(n) / ln({1 / threshold}D) + 1e-9D))")
+    spoilt = coded.groupBy(size_class.alias("own")).agg(F.max(F.col("n") - F.size("bytes")).alias("most"))
+    spoilt = spoilt.select(F.explode(F.expr("array(own - 1, own, own + 1)")).alias("class"), "most").groupBy("class").agg(F.max("most").alias("spoilt"))
     ordered = stage.put(
-        _by_rarity(coded)
-        .withColumn("need", F.expr(f"used - int(floor({(1 - threshold) / threshold}D * n + 1e-9D))"))
-        .withColumn("floor", F.expr(f"least({matches}, need)"))
-        .withColumn("class", F.expr(f"int(floor(ln(n) / ln({1 / threshold}D) + 1e-9D))"))
+        _by_rarity(coded).withColumn("class", size_class)
+        .join(F.broadcast(stage.put(spoilt)), "class")  # a row for each power of 1 / threshold
+        .withColumn("need", F.expr(f"used - int(floor({1 - threshold}D * n + 1e-9D)) - spoilt"))
+        .select("id", "n", "used", "need", F.expr(f"least({matches}, need)").alias("floor"), F.expr("if(need > 0, slice(transform(bytes, x -> x.key), 1, used - need + least(2, need)), array())".replace("2", str(matches))).alias("prefix"))
     )
-    index = ordered.where("need > 0").select("id", "n", "used", "floor", "class", F.posexplode(F.expr("slice(bytes, 1, used - need + floor)")).alias("at", "c"))
-    # The larger set of a pair is in the class of the smaller or in the next, where the smaller one is a guest.
-    index = index.select("id", "n", "used", "floor", "at", F.col("c.key").alias("key"), F.explode(F.expr("array(struct(class AS class, false AS guest), struct(class + 1 AS class, true AS guest))")).alias("x"))
-    pairs = met(index.select("id", "n", "used", "floor", "at", "key", F.col("x.class").alias("class"), F.col("x.guest").alias("guest")), ["key", "class"], stage, block)
+    index = ordered.select("id", "n", "used", "floor", F.posexplode("prefix").alias("at", "key"))
+    pairs = met(index, ["key"], stage, block)
     smaller = F.struct("n_a", "id_a") < F.struct("n_b", "id_b")
-    # What can still be shared: one, those before it, and those after it in both.
-    most = F.least("at_a", "at_b") + 1 + F.least(F.col("used_a") - F.col("at_a"), F.col("used_b") - F.col("at_b")) - 1
+    # What can still be common: one, those before it, and those after it in both; of all used ones all but those that differ.
+    most = F.least("at_a", "at_b") + F.least(F.col("used_a") - F.col("at_a"), F.col("used_b") - F.col("at_b"))
     edits = F.expr(f"int(floor({(1 - threshold) / (1 + threshold)}D * (n_a + n_b) + 1e-9D))")
-    close = smaller & ~F.col("guest_b") & (F.col("n_a") >= F.lit(threshold) * F.col("n_b") - 1e-9) & (most >= F.greatest("used_a", "used_b") - edits)
+    close = smaller & (F.col("n_a") >= F.lit(threshold) * F.col("n_b") - 1e-9) & (most >= F.greatest("used_a", "used_b") - edits)
     tally = (
         pairs.where(close).groupBy("id_a", "id_b")
-        .agg(F.count("*").alias("shared"), F.min(F.least("floor_a", "floor_b")).alias("floor"))
-        .where("shared >= floor").select("id_a", "id_b")
+        .agg(F.count("*").alias("common"), F.min(F.least("floor_a", "floor_b")).alias("floor"))
+        .where("common >= floor").select("id_a", "id_b")
     )
     # Without a guarantee: all records of a size that could be similar.
     sized = coded.select("id", "n")
