@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from ..functions.diagrams import cell_rows, parse_diagram, small_batches
 from ..functions.text import folded
-from ..operators.components import components
+from .components import components
 from ..session import table
 from ..staging import Stage
 

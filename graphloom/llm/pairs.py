@@ -1,211 +1,305 @@
 """Broken prompt and response pairs.
 
-Refusals are found by their openings. The opening of a response is its first
-six words, after a short lead-in ("Well," / 'Regarding "X":') and quoted
-labels are taken off. Equal openings are counted first, so that a template is
-one row however often it occurs; the distinct openings are then clustered by
-MinHash over shingles of five words, with every candidate pair verified. A
-cluster that answers prompts of unrelated kinds (how many / what label / how
-related) does not depend on the prompt: it is a refusal. An answer that belongs
-to a prompt kind, such as "There are 7 of them", stays within its kind. Because
-a rare template may meet only one kind, a cluster of full sentences that opens
-with words of inability counts too.
+Refusals are found by their openings. The openings of a response are its first
+sentence, up to ``OPENING_WORDS`` words, and the first ``STEM_WORDS`` words of
+it, for templates that go on differently, after a short lead-in ("Well," /
+'Regarding "X":') and quoted labels are taken off. They may be as short as two
+words and need not be terminated. Equal openings are counted first, so that a
+template is one row however often it occurs; the distinct openings are then
+clustered by MinHash over shingles of five words in ``BANDS`` bands, and every
+candidate pair is verified. A cluster that answers prompts of unrelated kinds
+(how many / what label / how related) does not depend on the prompt: it is a
+refusal. An answer that belongs to a kind, such as "There are 7 of them", stays
+within it. A prompt that names no kind has that of the prompts that begin like
+it. Because a rare template may meet only one kind, a cluster of sentences that
+speak of inability counts too.
 
 All other defects are checks of one row: no content; the question or the anchor
-over again; a sentence in another language; a text that stops before its end.
-How sentences of this collection end is learned from those that do end: the
-words around the last word of terminated answers.
+over again; a sentence in another language, by character models trained on
+labelled documents; a text that stops before its end. How sentences of this
+collection end is learned from those that do end: the words around the last word
+of terminated answers.
+
+One Arrow stage makes all checks of a row; it reads whole texts. What depends on
+the collection (openings, endings, kinds) is counted by Spark.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+import zlib
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import folded, stripped, words
-from ..operators.components import components
+from ..functions.diagrams import small_batches
+from ..functions.text import folded, stripped
+from .components import components
 from ..session import table
 from ..staging import Stage
+from .languages import LanguageModel
+from .languages import train as train_languages
 
 # Word lists and patterns.
-NO_CONTENT = ["", "null", "none", "na", "nil", "nan", "tbd", "tba", "undefined"]
-FUNCTION_WORDS = {
-    "en": "the a an is are was has have of to from in at with by its it there them this that which and not".split(),
-    "de": "der die das den dem ein eine ist und von zu mit auf bei nach geht über liegt steht führt endet weiter nicht".split(),
-    "es": "el la los las un una de del en y por con después hasta está sale llega proceso continúa termina encima no".split(),
-    "fr": "le la les un une des du se de et à au est trouve part une fois passe avant sur par pas".split(),
-}
-SENTENCE_WORDS = "the a an to from of its is are by with has have at after through above them there which one ones near before in into".split()
+NO_CONTENT = frozenset(["", "null", "none", "na", "nil", "nan", "tbd", "tba", "undefined"])
+SENTENCE_WORDS = frozenset("the a an to from of its is are by with has have at after through above them there which one ones near before in into".split())
 CHINESE_SENTENCE = r"从|之后|位于|正上方|接收|来自|连接到|出发|经过|流程|继续|完成|最后|结束|我|请|无法|不能|是|一共有"
 INABILITY = (
     r"\b(cannot|can ?not|can't|unable|not able|not possible|won't be able|must decline|decline to|beyond my|not have access|don't have access|apologies|apologi[sz]e|sorry|"
     r"too blurry|did not load|no image was|language model)\b|抱歉|对不起|无法|不能回答|不能查看"
 )
-OPENING_WORDS, SHINGLE, SIMILARITY = 6, 5, 0.8
-HASHES = 8
-
-_QUOTED = r'"[^"]*"|“[^”]*”|„[^“]*“|«[^»]*»'
-_HAN = r"[\x{4E00}-\x{9FFF}]"
-_TERMINAL = r"[.!?。！？][\"”'’)\]}]*$"
-
-
-def _text(name: str) -> Column:
-    return stripped(F.coalesce(F.col(name).cast("string"), F.lit("")))
-
-
-def _count(tokens: Column, of: list[str]) -> Column:
-    listed = F.array(*[F.lit(w) for w in of])
-    return F.size(F.filter(tokens, lambda w: F.array_contains(listed, w)))
-
-
-def _language(text: Column, tokens: Column) -> Column:
-    """The language whose function words are most frequent; Chinese by its script; NULL if undecided."""
-    han = F.size(F.regexp_extract_all(text, F.lit(_HAN), F.lit(0)))
-    counts = {lang: _count(tokens, ws) for lang, ws in FUNCTION_WORDS.items()}
-    most = F.greatest(*counts.values())
-    latin = reduce(lambda e, lang: e.when((counts[lang] == most) & (most > 0), F.lit(lang)), ("en", "de", "es", "fr"), F.when(F.lit(False), F.lit("")))
-    return F.when((han >= 2) & (han * 2 >= most), F.lit("zh")).otherwise(latin)
+SPEAKER = r"\b(i|i'm|i've|me|my)\b|我"
+NO_KIND = ("", "other", "unknown", "none")
+
+OPENING_WORDS, STEM_WORDS, SHINGLE, SIMILARITY = 15, 6, 5, 0.8
+#: A pair of similarity 0.8 shares a band of two values with probability 0.64; all of 16 bands miss it in 1 of 12 million cases.
+BANDS, PER_BAND = 16, 2
+#: Log-likelihood by which another language must be ahead of that of the question.
+MARGIN = 0.5
+
+_WORD = re.compile(r"[^\W_]+")
+_QUOTED = re.compile(r'"[^"]*"|“[^”]*”|„[^“]*“|«[^»]*»')
+_NAMED = re.compile(r'"([^"]+)"|“([^”]+)”')
+_HAN = re.compile(r"[一-鿿]")
+_TERMINAL = re.compile(r"[.!?。！？][\"”'’)\]}]*$")
+_CHINESE = re.compile(CHINESE_SENTENCE)
+_CHINESE_MARK = re.compile("[，。！？]")
+_INABILITY, _SPEAKER = re.compile(INABILITY), re.compile(SPEAKER)
+_CUT = re.compile(r"(…|\.\.\.|[,，、;；:：\-–—(&/]|\(see)$")
+_CUT_ITEM = re.compile(r"\n\s*\d+[.)]$")
+_WRAPPED = re.compile(r'^\{\s*"answer"\s*:\s*"(.*)"\s*\}$', re.DOTALL)
+_UNCLOSED = re.compile(r'^\{\s*"[^}]*$', re.DOTALL)
+_LEAD = re.compile(r"^\s*([^,:.，：。!！]*)[,:.，：。!！](?=.*[^\W_])", re.DOTALL)
+_STOP = re.compile(r"[.!?](?=\s|$)|[。！？]")
+
+
+def words(text: str) -> list[str]:
+    return _WORD.findall(text.lower())
+
+
+def bare_answer(answer: str, question: str) -> str:
+    """The answer without quoted labels and without the labels that the question names."""
+    bare = _QUOTED.sub(" ", answer)
+    for a, b in _NAMED.findall(question):
+        bare = re.sub(r"(?<![A-Za-z0-9])" + re.escape(a or b) + r"(?![A-Za-z0-9])", " ", bare)
+    return bare
+
+
+def opening(bare: str) -> list[str]:
+    """The words of the first sentence after the lead-ins; each Chinese character is a word."""
+    for _ in range(2):
+        lead = _LEAD.match(bare)
+        if lead and len(words(lead[1])) <= 2:
+            bare = bare[lead.end() :]
+    stop = next((s for s in _STOP.finditer(bare) if _WORD.search(bare, 0, s.start())), None)
+    first = bare[: stop.start()] if stop else bare
+    return words(_HAN.sub(lambda m: f" {m[0]} ", first.replace("'", "").replace("’", "")))[:OPENING_WORDS]
+
+
+def is_chinese(text: str, tokens: list[str]) -> bool:
+    n = len(_HAN.findall(text))
+    return n >= 2 and 2 * n >= sum(w in SENTENCE_WORDS for w in tokens)
+
+
+def repeats(answer: list[str], source: list[str]) -> bool:
+    """The answer's words are those of the source, with at most three words before them."""
+    n, m = len(answer), len(source)
+    return 0 < m <= n <= m + 3 and answer[n - m :] == source
+
+
+def shingles(tokens: list[str]) -> list[str]:
+    """Runs of five words; a shorter opening is one run."""
+    return [" ".join(tokens[i : i + SHINGLE]) for i in range(max(1, len(tokens) - SHINGLE + 1))]
+
+
+_RANDOM = np.random.default_rng(7)
+_FACTORS = _RANDOM.integers(1, 1 << 61, BANDS * PER_BAND, dtype=np.uint64) | np.uint64(1)
+
+
+def band_keys(openings: list[list[str]]) -> np.ndarray:
+    """(openings, bands): the hash of each band of the MinHash signature. Openings must not be empty."""
+    runs = [shingles(o) for o in openings]
+    flat = np.array([zlib.crc32(s.encode("utf-8", "surrogatepass")) | len(s) << 32 for r in runs for s in r], np.uint64)
+    starts = np.cumsum([0] + [len(r) for r in runs[:-1]])
+    hashed = (flat[:, None] + np.uint64(0x9E3779B9)) * _FACTORS
+    hashed = (hashed ^ hashed >> np.uint64(31)) * np.uint64(0x94D049BB133111EB)
+    least = np.minimum.reduceat(hashed ^ hashed >> np.uint64(29), starts, axis=0)
+    pairs = least.reshape(len(runs), BANDS, PER_BAND)
+    mixed = pairs[:, :, 0] * np.uint64(0xD6E8FEB86659FD93) ^ pairs[:, :, 1]
+    return (mixed * np.uint64(0x9E3779B97F4A7C15) ^ np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+
+
+_FIELDS = [
+    ("id", pa.int64()), ("kind", pa.string()), ("begins", pa.string()), ("defect", pa.string()), ("ends", pa.bool_()), ("sentence", pa.bool_()), ("learn", pa.bool_()),
+    ("near", pa.string()), ("far", pa.string()), ("fixed", pa.string()), ("last", pa.string()), ("opening", pa.string()), ("unable", pa.bool_()), ("bands", pa.list_(pa.int64())), ("stem", pa.string()), ("stem_bands", pa.list_(pa.int64())),
+]
+_DDL = "id bigint, kind string, begins string, defect string, ends boolean, sentence boolean, learn boolean, near string, far string, fixed string, last string, opening string, unable boolean, bands array<bigint>, stem string, stem_bands array<bigint>"
+
+
+def check_rows(rows: list[tuple], model: LanguageModel) -> pa.RecordBatch:
+    """Rows (id, question, answer, anchor, kind), texts stripped, to the checks of each."""
+    bare_questions = [_QUOTED.sub(" ", q) for _, q, _, _, _ in rows]
+    answers = [m[1] if (m := _WRAPPED.match(raw)) and m[1] else raw for _, _, raw, _, _ in rows]
+    bares = [bare_answer(a, r[1]) for a, r in zip(answers, rows)]
+    of_q, of_a = model.scores(bare_questions), model.scores(bares)
+    out: list[list] = [[] for _ in _FIELDS]
+    for i, (id_, q, _, v, kind) in enumerate(rows):
+        a, bare = answers[i], bares[i]
+        aw, bw, qw = words(a), words(bare), words(bare_questions[i])
+        ends = bool(_TERMINAL.search(a))
+        chinese = len(_CHINESE.findall(bare))
+        common = sum(w in SENTENCE_WORDS for w in bw)
+        sentence = common >= 2 or chinese >= 2 or chinese == 1 and bool(_CHINESE_MARK.search(bare))
+        asked = int(of_q[i].argmax())
+        han = is_chinese(bare, bw)
+        # Chinese is told by its script, all others by the models.
+        other = han != is_chinese(bare_questions[i], qw) or not han and of_a[i].max() - of_a[i][asked] >= MARGIN
+        same = not qw or not other
+        defect = None
+        if "".join(aw) in NO_CONTENT:
+            defect = "empty"
+        elif repeats(aw, words(q)) or repeats(aw, words(v)):
+            defect = "copy"
+        elif _CUT.search(a) or _CUT_ITEM.search(a) or a.count("(") + a.count("（") > a.count(")") + a.count("）") or a.count('"') % 2 or _UNCLOSED.match(a):
+            defect = "truncated"
+        elif not same and ends and (sentence if han else len(bw) >= 5):
+            defect = "language"
+        n = len(bw)
+        lower = bare.lower().replace("’", "'")
+        unable = bool(_INABILITY.search(lower)) and (ends or bool(_SPEAKER.search(lower)))
+        begin = None
+        if defect is None:
+            begin = opening(bare)
+            # Labels and numbers are no openings: without a final mark only sentences are, and short ones only without digits.
+            if len(begin) < 2 or not (ends or sentence or unable) or len(begin) < SHINGLE and (not ends or any(c.isdigit() for w in begin for c in w)):
+                begin = None
+        pair = lambda k: f"{bw[n - k]} {bw[n - k + 1]}" if n >= k else None
+        learn = ends and common >= 2 and n >= 5 and same and not han
+        row = (id_, kind, " ".join(qw[:2]), defect, ends, sentence, learn, pair(3), pair(4), pair(2), bw[-1] if bw else None, " ".join(begin) if begin else None, unable, None, " ".join(begin[:STEM_WORDS]) if begin and len(begin) > STEM_WORDS else None)
+        for column, value in zip(out, row):
+            column.append(value)
+    for text, keys in ((11, 13), (14, 15)):
+        at = [i for i, o in enumerate(out[text]) if o is not None]
+        bands: list[list[int] | None] = [None] * len(rows)
+        for i, k in zip(at, band_keys([out[text][i].split(" ") for i in at]).tolist() if at else []):
+            bands[i] = k
+        out[keys] = bands
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(out, _FIELDS)], names=[n for n, _ in _FIELDS])
+
+
+def prepared(pairs: DataFrame, model: LanguageModel) -> DataFrame:
+    """The distinct pairs with their checks; texts whole, NULL as ''."""
+    text = lambda c: stripped(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    base = pairs.select(
+        F.col("pair_id").cast("bigint").alias("id"), text("question").alias("q"), text("answer").alias("a"), text("visual_anchor").alias("v"), F.coalesce(folded(F.col("question_type")), F.lit("")).alias("kind")
+    ).where("id IS NOT NULL").groupBy("id").agg(F.min(F.struct("q", "a", "v", "kind")).alias("r")).select("id", "r.*")
+    shared = pairs.sparkSession.sparkContext.broadcast(model)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            yield check_rows(list(zip(*(c.to_pylist() for c in batch.columns))), shared.value)
 
-def prepared(pairs: DataFrame) -> DataFrame:
-    """The distinct pairs with what the checks need; texts whole, NULL as ''."""
-    base = pairs.select(
-        F.col("pair_id").alias("id"), _text("question").alias("q"), _text("answer").alias("raw"), _text("visual_anchor").alias("v"), folded(F.col("question_type")).alias("kind")
-    ).where("id IS NOT NULL").groupBy("id").agg(F.min(F.struct("q", "raw", "v", "kind")).alias("r")).select("id", "r.*")
-    # An answer inside {"answer": "..."} counts as what it says; one whose object is not closed stays as it is.
-    base = base.withColumn("a", F.coalesce(F.nullif(F.regexp_extract("raw", r'(?s)^\{\s*"answer"\s*:\s*"(.*)"\s*\}$', 1), F.lit("")), F.col("raw")))
-    base = base.withColumn("aw", words(F.col("a"))).withColumn("qw", words(F.col("q"))).withColumn("vw", words(F.col("v")))
-    bare = F.regexp_replace(F.col("a"), _QUOTED, " ")
-    # Labels that the question names are not the answer's own words.
-    named = F.regexp_extract_all(F.col("q"), F.lit(r'"([^"]+)"|“([^”]+)”'), F.lit(0))
-    named = F.transform(named, lambda x: F.substring(x, F.lit(2), F.length(x) - 2))
-    whole = lambda x: F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), F.replace(x, F.lit(r"\E"), F.lit(" ")), F.lit(r"\E(?![A-Za-z0-9])"))
-    base = base.withColumn("bare", F.aggregate(named, bare, lambda acc, x: F.when(F.length(x) > 0, F.regexp_replace(acc, whole(x), F.lit(" "))).otherwise(acc)))
-    base = base.withColumn("bw", words(F.col("bare")))
-    base = base.withColumn("q_lang", _language(F.regexp_replace("q", _QUOTED, " "), words(F.regexp_replace("q", _QUOTED, " "))))
-    base = base.withColumn("a_lang", _language(F.col("bare"), F.col("bw")))
-    base = base.withColumn("ends", F.col("a").rlike(_TERMINAL))
-    chinese = F.size(F.regexp_extract_all("bare", F.lit(CHINESE_SENTENCE), F.lit(0)))
-    sentence = (_count(F.col("bw"), SENTENCE_WORDS) >= 2) | (chinese >= 2) | (chinese >= 1) & F.col("bare").rlike("[，。！？]")
-    return base.withColumn("sentence", sentence)
-
-
-def _repeats(answer: Column, source: Column) -> Column:
-    """The answer's words are those of the source, with at most three words before them."""
-    n, m = F.size(answer), F.size(source)
-    return (m > 0) & (n >= m) & (n - m <= 3) & (F.slice(answer, n - m + 1, F.greatest(m, F.lit(1))) == source)
+    return base.mapInArrow(run, _DDL)
 
 
 def endings(rows: DataFrame, stage: Stage, least: int = 5) -> tuple[DataFrame, DataFrame]:
-    """How terminated sentences end: one row of word pairs, bounded to those that end at least a 200th of them, and all last words that follow them.
+    """How terminated sentences end: (what, text) of the word pairs that end at least a 200th of them, and (last) all last words that follow such pairs.
 
-    ``near``: the two words before the last; ``far``: the two before the last two; ``fixed``: the last two themselves.
-    The last words (last) are as many as the collection has, so they are a table to join, not an array.
+    ``near``: the two words before the last; ``far``: the two before the last two, both before at least four different last
+    words; ``fixed``: the last two themselves. The share is a rate, so the contexts are at most 200 of each kind and are the
+    same ones in a collection ten times as large; the last words are as many as the collection has.
     """
-    done = rows.where("ends AND sentence AND size(bw) >= 5 AND q_lang <=> a_lang AND a_lang != 'zh'").select("bw", F.size("bw").alias("n"))
-    pair = lambda i: F.concat_ws(" ", F.get("bw", F.col("n") - i), F.get("bw", F.col("n") - i + 1))
+    done = rows.where("learn")
     parts = done.select(F.explode(F.array(
-        F.struct(F.lit("near").alias("what"), pair(3).alias("text"), F.get("bw", F.col("n") - 1).alias("last")),
-        F.struct(F.lit("far").alias("what"), pair(4).alias("text"), F.get("bw", F.col("n") - 1).alias("last")),
-        F.struct(F.lit("fixed").alias("what"), pair(2).alias("text"), F.lit("").alias("last")),
+        F.struct(F.lit("near").alias("what"), F.col("near").alias("text"), F.col("last")),
+        F.struct(F.lit("far").alias("what"), F.col("far").alias("text"), F.col("last")),
+        F.struct(F.lit("fixed").alias("what"), F.col("fixed").alias("text"), F.lit("").alias("last")),
     )).alias("e")).select("e.*")
-    total = F.broadcast(done.agg(F.count("*").alias("total")))  # one row
+    total = done.count()
     per = stage.put(parts.groupBy("what", "text", "last").agg(F.count("*").alias("n")))
-    context = per.groupBy("what", "text").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).crossJoin(total)
-    enough = F.col("n") >= F.greatest(F.lit(least), F.col("total") / 200)  # at most 200 contexts of each kind
-    kept = stage.put(context.where(enough & ((F.col("what") == "fixed") | (F.col("kinds") >= 4))).select("what", "text"))
-    pairs = kept.groupBy().agg(*[F.collect_set(F.when(F.col("what") == w, F.col("text"))).alias(w) for w in ("near", "far", "fixed")])
-    lasts = per.where("what != 'fixed'").join(F.broadcast(kept), ["what", "text"]).select("last").distinct()
-    return pairs, stage.put(lasts)
-
+    context = per.groupBy("what", "text").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
+    kept = stage.put(context.where((F.col("n") >= max(least, total / 200)) & ((F.col("what") == "fixed") | (F.col("kinds") >= 4))).select("what", "text"))
+    lasts = per.where("what != 'fixed'").join(F.broadcast(kept), ["what", "text"]).select("last").distinct()  # at most 600 contexts
+    return kept, stage.put(lasts)
 
-def _clauses(bare: Column) -> Column:
-    """The text without a lead-in: a first part of at most two words before a comma, colon or full stop."""
-    head = F.regexp_extract(bare, r"(?sU)^\s*([^,:.，：。!！]*)[,:.，：。!！](?=.*[\p{L}\p{N}])", 1)
-    rest = F.regexp_replace(bare, r"(?sU)^\s*[^,:.，：。!！]*[,:.，：。!！]", "")
-    short = F.size(words(head)) <= 2
-    matched = bare.rlike(r"(?sU)^\s*[^,:.，：。!！]*[,:.，：。!！](?=.*[\p{L}\p{N}])")
-    return F.when(matched & short, rest).otherwise(bare)
 
-
-def _opening(bare: Column) -> Column:
-    """The first words after the lead-in; each Chinese character is a word."""
-    spaced = F.regexp_replace(_clauses(_clauses(bare)), "(" + _HAN + ")", " $1 ")
-    return F.slice(words(F.regexp_replace(spaced, "['’]", "")), 1, OPENING_WORDS)
+def unfinished(rows: DataFrame, stage: Stage) -> DataFrame:
+    """(id) of the sentences that have no final mark and do not end as terminated ones do."""
+    context, lasts = endings(rows, stage)
+    asks = rows.where("defect IS NULL AND sentence AND NOT ends").select("id", "near", "far", "fixed", "last")
+    known = lasts.withColumn("last_known", F.lit(True))
+    out = asks.join(known, "last", "left")
+    for what in ("near", "far", "fixed"):
+        of = context.where(F.col("what") == what).select(F.col("text").alias(what), F.lit(True).alias(f"{what}_known"))
+        out = out.join(F.broadcast(of), what, "left")  # at most 200 rows
+    return out.where("NOT coalesce(fixed_known OR last_known AND (near_known OR far_known), false) AND NOT coalesce(fixed_known, false)").select("id")
 
 
-def opening_clusters(rows: DataFrame, stage: Stage) -> DataFrame:
-    """(key, cluster) of the distinct openings; ``rows`` (opening array<string>).
+def opening_clusters(distinct: DataFrame, stage: Stage) -> DataFrame:
+    """(opening, cluster) of rows (opening, bands), every opening once.
 
-    An opening has at most two shingles of five words, so a similarity of 0.8
-    leaves no room for a differing shingle (one of three is 0.33): similar
-    openings agree in all MinHash values, and the whole signature is the bucket.
-    Each bucket ties its members to its smallest one, verified on the shingles.
+    Each bucket of a band ties its members to its smallest one, verified on the shingles.
+    A bucket is as large as the number of different openings in it, and is reduced to its smallest before it is joined.
     """
-    assert OPENING_WORDS - SHINGLE + 1 <= 4, "longer openings need several bands"
-    distinct = stage.put(rows.select("opening").distinct().withColumn("key", F.array_join("opening", " ")))
-    shingles = F.expr(f"transform(sequence(1, greatest(1, size(opening) - {SHINGLE - 1})), i -> array_join(slice(opening, i, {SHINGLE}), ' '))")
-    hashed = distinct.withColumn("shingles", F.array_distinct(shingles))
-    signature = F.expr(f"xxhash64(transform(sequence(1, {HASHES}), k -> array_min(transform(shingles, s -> xxhash64(s, k)))))")
-    index = hashed.select("key", "shingles", signature.alias("bucket"))
-    centre = index.groupBy("bucket").agg(F.min(F.struct("key", "shingles")).alias("c"), F.count("*").alias("n")).where("n > 1")
-    near = index.join(centre, "bucket").where("key != c.key")
-    alike = F.size(F.array_intersect("shingles", "c.shingles")) >= F.lit(SIMILARITY) * F.size(F.array_union("shingles", "c.shingles")) - 1e-9
-    verified = near.where(alike).select("key", F.col("c.key").alias("centre")).distinct()
-    ties = verified.select(F.concat_ws("\x00", "key", "centre").alias("rec"), F.explode(F.array("key", "centre")).alias("val"))
+    index = stage.put(distinct.select("opening", F.explode("bands").alias("bucket")))
+    centre = index.groupBy("bucket").agg(F.min("opening").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n")
+    near = index.join(centre, "bucket").where("opening != centre").select("opening", "centre").distinct()
+    runs = lambda c: F.expr(f"array_distinct(transform(sequence(1, greatest(1, size(split({c}, ' ')) - {SHINGLE - 1})), i -> array_join(slice(split({c}, ' '), i, {SHINGLE}), ' ')))")
+    sides = near.withColumn("x", runs("opening")).withColumn("y", runs("centre"))
+    alike = F.size(F.array_intersect("x", "y")) >= F.lit(SIMILARITY) * F.size(F.array_union("x", "y")) - 1e-9
+    verified = sides.where(alike).select("opening", "centre")
+    ties = verified.select(F.concat_ws("\x00", "opening", "centre").alias("rec"), F.explode(F.array("opening", "centre")).alias("val"))
     label = components(ties, stage)
-    return distinct.join(label, distinct["key"] == label["val"], "left").select("key", F.coalesce("label", "key").alias("cluster"))
+    return distinct.select("opening").join(label, distinct["opening"] == label["val"], "left").select("opening", F.coalesce("label", "opening").alias("cluster"))
 
 
-def defects(pairs: DataFrame, stage: Stage) -> DataFrame:
+def kinds_of(rows: DataFrame) -> DataFrame:
+    """rows with ``kind`` filled in: a prompt without kind has that of at least four fifths of the prompts with the same first two words, else none."""
+    named = ~F.col("kind").isin(*NO_KIND)
+    per = rows.where(named).groupBy("begins", "kind").agg(F.count("*").alias("n"))
+    most = per.groupBy("begins").agg(F.max_by("kind", F.struct("n", "kind")).alias("like"), F.max("n").alias("top"), F.sum("n").alias("all")).where(F.col("top") * 5 >= F.col("all") * 4)
+    rest = rows.where(~named).join(most.select("begins", "like"), "begins", "left").withColumn("kind", F.coalesce("like", F.lit(""))).drop("like")
+    return rows.where(named).unionByName(rest)
+
+
+def refusals(rows: DataFrame, stage: Stage) -> DataFrame:
+    """(opening, cluster) of the openings that are refusals; ``rows`` (opening, bands, kind, unable)."""
+    per = stage.put(rows.groupBy("opening", "kind").agg(F.count("*").alias("n"), F.count_if("unable").alias("unable"), F.first("bands").alias("bands")))
+    clusters = stage.put(opening_clusters(per.groupBy("opening").agg(F.first("bands").alias("bands")), stage))
+    met = per.join(clusters, "opening").groupBy("cluster", "kind").agg(F.sum("n").alias("n"), F.sum("unable").alias("unable"))
+    all_of = met.groupBy("cluster").agg(F.sum("n").alias("n"), F.sum("unable").alias("unable"), F.collect_list(F.when(F.col("kind") != "", F.col("n"))).alias("of_kinds"))
+    unrelated = F.size(F.filter("of_kinds", lambda k: k * 20 >= F.col("n"))) >= 2
+    return clusters.join(all_of.where(unrelated | (F.col("unable") * 2 > F.col("n"))).select("cluster"), "cluster").select("opening", "cluster")
+
+
+def defects(pairs: DataFrame, stage: Stage, model: LanguageModel) -> DataFrame:
     """(id, defect, cluster) of every distinct pair; ``defect`` is NULL for sound ones.
 
     A NULL answer is empty. A NULL question or anchor is copied by nothing and has no language.
     Of several rows of a pair_id the smallest counts. Extra columns are not read.
     """
-    rows = stage.put(prepared(pairs))
-    n = F.size("bw")
-    context, lasts = endings(rows, stage)
-    # Only sentences without a final mark ask for their last word; the others get keys of their own.
-    asks = F.when(F.col("sentence") & ~F.col("ends"), F.get("bw", n - 1))
-    ends = rows.withColumn("last", F.coalesce(asks, F.concat(F.lit("\x00"), F.coalesce(F.col("id").cast("string"), F.lit("")))))
-    ends = ends.join(lasts.withColumn("last_known", F.lit(True)), "last", "left").crossJoin(F.broadcast(context))  # one row
-    pair = lambda i: F.concat_ws(" ", F.get("bw", n - i), F.get("bw", n - i + 1))
-    closed = F.col("last_known") & (F.array_contains("near", pair(3)) | F.array_contains("far", pair(4))) | F.array_contains("fixed", pair(2))
-    cut_mark = F.col("a").rlike(r"(…|\.\.\.|[,，、;；:：\-–—(&/]|\(see)$") | F.col("a").rlike(r"(?s)\n\s*\d+[.)]$")
-    unclosed = (F.length(F.regexp_replace("a", r"[^(（]", "")) > F.length(F.regexp_replace("a", r"[^)）]", ""))) | (F.length(F.regexp_replace("a", '[^"]', "")) % 2 == 1)
-    unclosed = unclosed | F.col("a").rlike(r'(?s)^\{\s*"[^}]*$')
-    empty = F.array_contains(F.array(*[F.lit(x) for x in NO_CONTENT]), F.array_join("aw", ""))
-    copy = _repeats(F.col("aw"), F.col("qw")) | _repeats(F.col("aw"), F.col("vw"))
-    truncated = cut_mark | unclosed | (F.col("sentence") & ~F.col("ends") & ~F.coalesce(closed, F.lit(False)))
-    enough = (F.col("a_lang") == "zh") & F.col("sentence") | (_count(F.col("bw"), sorted({w for ws in FUNCTION_WORDS.values() for w in ws})) >= 2)
-    language = F.col("q_lang").isNotNull() & F.col("a_lang").isNotNull() & (F.col("q_lang") != F.col("a_lang")) & F.col("ends") & enough
-    first = F.when(empty, "empty").when(copy, "copy").when(truncated, "truncated").when(language, "language")
-    checked = stage.put(ends.select("id", "kind", "ends", first.alias("defect"), "bare").withColumn("opening", F.when(F.col("defect").isNull() & F.col("ends"), _opening(F.col("bare")))))
-
-    open_ = checked.where(F.size("opening") >= SHINGLE)
-    of_opening = open_.groupBy("opening").agg(
-        F.count("*").alias("n"),
-        *[F.count_if(F.col("kind") == k).alias(k) for k in ("counting", "identification", "relationship")],
-        F.count_if(F.lower("bare").rlike(INABILITY)).alias("inability"),
-    ).withColumn("key", F.array_join("opening", " "))
-    clusters = stage.put(opening_clusters(open_, stage))
-    per = of_opening.join(clusters, "key").groupBy("cluster").agg(*[F.sum(c).alias(c) for c in ("n", "counting", "identification", "relationship", "inability")])
-    kinds = [F.col(k) * 20 >= F.col("n") for k in ("counting", "identification", "relationship")]
-    unrelated = reduce(lambda a, b: a + b, [F.when(k, 1).otherwise(0) for k in kinds]) >= 2
-    refusals = per.where(unrelated & (F.col("n") >= 2) | (F.col("inability") * 2 > F.col("n"))).select("cluster", F.lit(True).alias("refusal"))
+    rows = stage.put(prepared(pairs, model))
+    cut = stage.put(unfinished(rows, stage))
+    cut = cut.withColumn("cut", F.lit("truncated"))
+    sound = rows.where("defect IS NULL AND opening IS NOT NULL").join(cut, "id", "left")
+    told = kinds_of(sound.where("cut IS NULL").select("kind", "begins", "unable", "opening", "bands", "stem", "stem_bands"))
+    stems = told.where("stem IS NOT NULL").select(F.col("stem").alias("opening"), F.col("stem_bands").alias("bands"), "kind", "unable")
+    found = stage.put(refusals(told.select("opening", "bands", "kind", "unable").unionByName(stems), stage))
     # Only answers with an opening meet the templates; all others pass by, so no key stands for many of them.
-    refusal_keys = clusters.join(refusals, "cluster").select("key", "cluster", "refusal")
-    told = open_.withColumn("key", F.array_join("opening", " ")).select("id", "key").join(refusal_keys, "key", "left")
-    out = told.select("id", F.when(F.col("refusal"), "refusal").alias("defect"), F.when(F.col("refusal"), F.col("cluster")).alias("cluster"))
-    rest = checked.where(F.coalesce(F.size("opening"), F.lit(-1)) < SHINGLE).select("id", "defect", F.lit(None).cast("string").alias("cluster"))
-    return out.unionByName(rest)
+    # What breaks off is a refusal only if it is one as a whole.
+    open_ = sound.select("id", "cut", "opening", F.when(F.col("cut").isNull(), F.coalesce("stem", F.concat(F.lit("\x00"), F.col("id").cast("string")))).alias("stem"))
+    by_stem = found.select(F.col("opening").alias("stem"), F.col("cluster").alias("of_stem"))
+    open_ = open_.join(found, "opening", "left").join(by_stem, "stem", "left").withColumn("cluster", F.coalesce("cluster", "of_stem"))
+    out = open_.select("id", F.when(F.col("cluster").isNotNull(), "refusal").otherwise(F.col("cut")).alias("defect"), "cluster")
+    rest = rows.where("defect IS NOT NULL OR opening IS NULL").select("id", "defect").join(cut, "id", "left")
+    return out.unionByName(rest.select("id", F.coalesce("defect", "cut").alias("defect"), F.lit(None).cast("string").alias("cluster")))
 
 
 def _defects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return defects(table(spark, sf_dir, "qa_pairs"), Stage(spark, "pairs"))
+    return defects(table(spark, sf_dir, "qa_pairs"), Stage(spark, "pairs"), train_languages(table(spark, sf_dir, "documents")))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import folded, known
-from ..operators.components import components
+from .components import components
 from ..session import table
 from ..staging import Stage
 from .sampling import level_of
