@@ -81,11 +81,28 @@ def test_leaks_against_brute_force(spark, shard_words):
     assert lk.leaks(d, "doc_id", "text", i.limit(0), "item_id", "text").count() == 0
 
 
-def test_suffix_array_is_sorted():
-    s = np.random.RandomState(0).randint(0, 3, 300)
-    order = lk.suffix_array(s, 16)
-    keys = [tuple(s[i : i + 16]) for i in order]
-    assert keys == sorted(keys) and sorted(order) == list(range(300))
+@pytest.mark.parametrize("values", [1, 2, 3, 200])
+def test_suffix_array_is_sorted(values):
+    s = np.random.RandomState(0).randint(0, values, 300)
+    keys = [tuple(s[i:]) for i in lk.suffix_array(s)]
+    assert keys == sorted(keys) and len(keys) == 300
+    assert len(lk.suffix_array(s[:0])) == 0 and list(lk.suffix_array(s[:1])) == [0]
+
+
+def test_texts_that_repeat_themselves(monkeypatch):
+    """Only the places at which a match begins are followed, so a word said 3,000 times costs no 9 million."""
+    shard = lk.Shard.build([(1, ["a"] * 3000), (2, ["b"] + ["a"] * 40 + ["c"])])
+    shard = lk.Shard.unpacked(*shard.packed())
+    assert sorted(shard.leaks([(7, ["a"] * 500 + ["c"]), (8, ["z"] * 20)], 13)) == [(1, 7, 500, 0, 0), (2, 7, 41, 1, 460)]
+    monkeypatch.setattr(lk, "AT_ONCE", 3)
+    assert sorted(shard.leaks([(7, ["a"] * 500 + ["c"])], 13)) == [(1, 7, 500, 0, 0), (2, 7, 41, 1, 460)]
+
+
+def test_two_blocks_of_items_read_the_corpus_once(spark):
+    """The plan of the matches reads shards and blocks that are written, not the texts."""
+    d = spark.createDataFrame([(i, f"w{i} " * 40) for i in range(20)], "doc_id bigint, text string")
+    plan = lk.leaks(d, "doc_id", "text", d, "doc_id", "text", 5, 100, 50)._jdf.queryExecution().optimizedPlan().toString()
+    assert "suffixes" in plan and "text#" not in plan
 
 
 def corpus(n, seed):
