@@ -271,24 +271,21 @@ class Allocation:
         edge = kept.where(F.col("before") + F.col("n") > F.col("quota")).withColumn("rank", rank).where(F.col("before") + F.col("rank") <= F.col("quota")).drop("rank")
         return whole.unionByName(edge).select("key", *DIMENSIONS)
 
-    def report(self, sampled: bool = True) -> DataFrame:
-        """One row per target: what it asks for, what there is, what the sample gets, whether the category falls short,
-        and whether the sample misses whole rows of it that are wanted (by share or ``min_rows``) and there."""
-        quotas = self.quotas() if sampled else None
+    def report(self) -> DataFrame:
+        """One row per target: what it asks for, what there is, what the allocation gives it, whether the category falls short,
+        and whether the sample misses whole rows of it that are wanted (by share or ``min_rows``) and there.
 
-        def per_dim(df: DataFrame, column: str, name: str) -> DataFrame:
+        A category falls short if the leaves of the tree have fewer rows of it than ``min_rows`` or its share asks for; the allocation then hands
+        its quota to siblings and cousins."""
+
+        def per_dim(df: DataFrame) -> DataFrame:
             stack = F.explode(F.array(*[F.struct(F.lit(d).alias("dim_name"), F.col(d).alias("cat")) for d in DIMENSIONS])).alias("x")
-            return df.select(stack, column).select("x.*", column).where("cat IS NOT NULL").groupBy("dim_name", "cat").agg(F.sum(column).alias(name))
+            return df.select(stack, "has", "quota").select("x.*", "has", "quota").where("cat IS NOT NULL").groupBy("dim_name", "cat").agg(F.sum("has").alias("available"), F.sum("quota").alias("sampled"))
 
-        out = self.targets.join(per_dim(self.counts, "has", "available"), ["dim_name", "cat"], "left").fillna(0, ["available"])
-        if quotas is not None:
-            out = out.join(per_dim(quotas, "quota", "sampled"), ["dim_name", "cat"], "left").fillna(0, ["sampled"])
-        short = (F.col("available") < F.col("min_rows")) | (F.col("available") < F.col("target_share") * F.lit(float(self.size)))
-        out = out.withColumn("falls_short", short)
-        if quotas is not None:
-            wanted = F.greatest(F.col("min_rows"), F.floor(F.col("target_share") * F.lit(float(self.size)) + 1e-9))
-            out = out.withColumn("missed", F.col("sampled") < F.least("available", wanted))
-        return out
+        out = self.targets.join(per_dim(self.quotas()), ["dim_name", "cat"], "left").fillna(0, ["available", "sampled"])
+        asked = F.greatest(F.col("min_rows").cast("double"), F.col("target_share") * F.lit(float(self.size)))
+        wanted = F.greatest(F.col("min_rows"), F.floor(F.col("target_share") * F.lit(float(self.size)) + 1e-9))
+        return out.withColumn("falls_short", F.col("available") < asked).withColumn("missed", F.col("sampled") < F.least("available", wanted))
 
 
 def _allocation(spark: SparkSession, sf_dir: str) -> Allocation:
@@ -296,8 +293,8 @@ def _allocation(spark: SparkSession, sf_dir: str) -> Allocation:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Targets whose category has too few rows."""
-    return _allocation(spark, sf_dir).report(sampled=False).where("falls_short").select("dim_name", "category").distinct()
+    """Targets whose category has too few rows in the tree from which the sample is allocated."""
+    return _allocation(spark, sf_dir).report().where("falls_short").select("dim_name", "category").distinct()
 
 
 def p1_sample(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,10 +6,11 @@ changes; the label is the group. All instructions of a sample share the sample,
 so the graph has one record per sample, however many instructions it has.
 
 Groups then go to splits so that each split has its share of the rows and, as
-far as possible, of every difficulty level. Groups above a thousandth of all
-rows (at most a thousand of them) are placed one by one; all others fall into
-hash buckets by their main level, and a bucket is placed as one. So what the
-driver sees is bounded, whatever the number of groups.
+far as possible, of every difficulty level. The ``SINGLE`` largest groups are
+placed one by one, largest first; what is smaller than all of these falls into
+hash buckets by its main level, and a bucket is placed as one. Each of the
+``LEVELS`` most frequent levels is a stratum of its own, the rest are one. So
+what the driver sees is bounded, whatever the number of groups.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from ..staging import Stage
 from .sampling import level_of
 
 SPLITS = {"train": 0.8, "validation": 0.1, "test": 0.1}
-STRATA, BUCKETS = 16, 256
+#: Groups placed one by one, hash buckets of the smaller ones per main level, and levels held in proportion.
+SINGLE, BUCKETS, LEVELS = 10_000, 256, 30
 
 
 def sample_value(domain: str = "domain", sample: str = "sample_id"):
@@ -65,27 +67,29 @@ def place(counts: np.ndarray, shares: np.ndarray) -> np.ndarray:
     out = np.zeros(len(counts), int)
     for i in np.argsort(-counts.sum(1), kind="stable"):
         item = np.append(counts[i], counts[i].sum())
-        gain = [((((have[k] + item - want[k]) * scale[k]) ** 2) - (((have[k] - want[k]) * scale[k]) ** 2)).sum() for k in range(len(shares))]
+        gain = (((have + item - want) * scale) ** 2 - ((have - want) * scale) ** 2).sum(1)
         out[i] = int(np.argmin(gain))
         have[out[i]] += item
     return out
 
 
-def assign(rows: DataFrame, stage: Stage, shares: dict[str, float] | None = None) -> DataFrame:
+def assign(rows: DataFrame, stage: Stage, shares: dict[str, float] | None = None, single: int = SINGLE) -> DataFrame:
     """rows (instruction_key, group_key, level) with the column ``split``; all rows of a group in one split."""
     shares = shares or SPLITS
     spark = rows.sparkSession
-    stratum = F.when(F.col("level").isNotNull(), F.pmod(F.xxhash64("level"), F.lit(STRATA)) + 1).otherwise(0).cast("int")
-    per = stage.put(rows.withColumn("stratum", stratum).groupBy("group_key", "stratum").agg(F.count("*").alias("n")))
+    named = rows.where("level IS NOT NULL").groupBy("level").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "level").limit(LEVELS).select("level").collect()
+    strata = spark.createDataFrame([(r.level, i + 2) for i, r in enumerate(named)], "level string, own int")
+    stratum = F.when(F.col("level").isNull(), 0).otherwise(F.coalesce("own", F.lit(1)))
+    per = stage.put(rows.join(F.broadcast(strata), "level", "left").withColumn("stratum", stratum).groupBy("group_key", "stratum").agg(F.count("*").alias("n")))
     sizes = stage.put(per.groupBy("group_key").agg(F.sum("n").alias("n"), F.max_by("stratum", F.struct("n", "stratum")).alias("main")))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    large = sizes.where(F.col("n") > total / 1000.0).select("group_key", F.col("group_key").alias("item"))
-    small = sizes.where(F.col("n") <= total / 1000.0).select("group_key", F.concat_ws(":", F.lit("\x00"), "main", F.pmod(F.xxhash64("group_key"), F.lit(BUCKETS))).alias("item"))
+    large = stage.put(sizes.orderBy(F.desc("n"), "group_key").limit(single).select("group_key", F.col("group_key").alias("item")))
+    small = sizes.join(F.broadcast(large.select("group_key")), "group_key", "left_anti")  # at most SINGLE rows
+    small = small.select("group_key", F.concat_ws(":", F.lit("\x00"), "main", F.pmod(F.xxhash64("group_key"), F.lit(BUCKETS))).alias("item"))
     items = stage.put(large.unionByName(small))
-    found = per.join(items, "group_key").groupBy("item", "stratum").agg(F.sum("n").alias("n")).collect()  # at most 1000 + 17 * 256 items
+    found = per.join(items, "group_key").groupBy("item", "stratum").agg(F.sum("n").alias("n")).collect()  # at most (SINGLE + BUCKETS * (LEVELS + 2)) * (LEVELS + 2)
     names = sorted({r.item for r in found})
     at = {name: i for i, name in enumerate(names)}
-    counts = np.zeros((len(names), STRATA + 1))
+    counts = np.zeros((len(names), LEVELS + 2))
     for r in found:
         counts[at[r.item], r.stratum] += r.n
     chosen = place(counts, np.array(list(shares.values())) / sum(shares.values())) if names else []
