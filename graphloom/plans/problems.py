@@ -13,7 +13,7 @@ from ..session import table
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys and parents of all flat tables."""
-    return links(flat_tables(spark, table(spark, sf_dir, "diagrams"), table(spark, sf_dir, "descriptions"), full=False))
+    return links(flat_tables(spark, table(spark, sf_dir, "diagrams"), table(spark, sf_dir, "descriptions")))
 
 
 def _flat(record_kind: str):
