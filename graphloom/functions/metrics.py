@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scoring import clamp, first_number, json_of, token_estimate
+from .scoring import change_tokens, clamp, first_number, json_of, token_estimate
 
 # --- edit distances ---------------------------------------------------------
 
@@ -289,8 +289,8 @@ def xml_facts(texts: pd.Series) -> pd.DataFrame:
     def one(text: str | None) -> tuple:
         try:
             root = ElementTree.fromstring(text or "")
-        except (ElementTree.ParseError, ValueError):
-            return False, False, ["XML parsing error"], 0, 0, 0
+        except (ElementTree.ParseError, ValueError) as e:
+            return False, False, [f"XML parsing error: {e}"], 0, 0, 0
         tags = {e.tag for e in root.iter()}
         below = list(root.iter("mxCell"))
         nodes = sum(c.get("vertex") == "1" for c in below)
@@ -366,9 +366,11 @@ class Registry:
         return [m for m in self.metrics.values() if m.enabled]
 
     def evaluate(self, rows: DataFrame, keys: list[str]) -> DataFrame:
-        """The long score table (keys, metric, score, success) of all enabled metrics, in one pass over the rows."""
+        """The long score table (keys, metric, score, success) of all enabled metrics whose inputs the rows have, in one pass over the rows."""
         cells = []
         for m in self.enabled():
+            if not set(m.inputs) <= set(rows.columns):
+                continue
             score, success = m.score(*[F.col(c) for c in m.inputs])
             cells.append(F.struct(F.lit(m.name).alias("metric"), score.cast("double").alias("score"), success.alias("success")))
         return rows.select(*keys, F.explode(F.array(*cells)).alias("cell")).select(*keys, "cell.*")
@@ -384,9 +386,52 @@ def token_metric(xml: Column, missing: float | None = None) -> tuple[Column, Col
     return F.when(xml.isNull(), F.lit(missing).cast("double")).otherwise(token_estimate(xml)), xml.isNotNull()
 
 
+#: Where a judge's reply has the scores of its dimensions, by task.
+STYLE_DIMENSIONS = {
+    1: ["analysis.dimension_scores.visual_style_consistency", "analysis.dimension_scores.layout_consistency", "analysis.dimension_scores.aesthetic_quality"],
+    2: ["analysis.dimension_scores.style_consistency", "analysis.dimension_scores.aesthetic_quality"],
+}
+
+
+def judged_score(reply: Column, task: int) -> tuple[Column, Column]:
+    """The final score of a judge's reply; a missing reply fails with 0. In the second task a bare number above 1 is out of ten."""
+    return style_score(reply, STYLE_DIMENSIONS[task], per_ten=task == 2), reply.isNotNull()
+
+
+def share_of(parts: Column) -> tuple[Column, Column]:
+    """Right ones over all of an array of booleans; 0, and a failure, when empty or missing."""
+    n = F.size(F.coalesce(parts, F.array().cast("array<boolean>")))
+    return F.when(n > 0, F.size(F.filter(parts, lambda x: F.coalesce(x, F.lit(False)))) / n).otherwise(0.0), n > 0
+
+
+def vector_score(a: Column, b: Column) -> tuple[Column, Column]:
+    """Cosine of two image vectors; fails with NULL where there is none."""
+    return cosine(a, b), cosine(a, b).isNotNull()
+
+
+def json_token_metric(changes: Column) -> tuple[Column, Column]:
+    """Tokens of the canonical text of a change list; a missing or broken one fails with 0."""
+    n = change_tokens(changes)
+    return F.coalesce(n, F.lit(0)), n.isNotNull()
+
+
+def edit_metric(before: Column, after: Column) -> tuple[Column, Column]:
+    """Token edit distance over the longer sequence; fails with NULL if either is missing."""
+    return F.when(before.isNotNull() & after.isNotNull(), edit_distance(before, after)), before.isNotNull() & after.isNotNull()
+
+
 def default_registry() -> Registry:
-    """The offline metrics of the first task."""
+    """The eleven metrics of both tasks. Judges, answers, checks and image vectors come from outside and are inputs."""
     r = Registry()
     r.register(Metric("execution_success_rate", ("xml", "rendered"), execution_success))
     r.register(Metric("xml_token_count", ("xml",), token_metric))
+    r.register(Metric("style_consistency_score", ("style_reply",), lambda reply: judged_score(reply, 1)))
+    r.register(Metric("codevqa", ("answers_right",), share_of))
+    r.register(Metric("siglip_score", ("image_vector", "render_vector"), vector_score))
+    r.register(Metric("modified_xml_execution_success_rate", ("modified_xml", "modified_rendered"), lambda xml, ok: execution_success(xml, ok, False)))
+    r.register(Metric("modified_xml_token_count", ("modified_xml",), lambda xml: token_metric(xml, 0.0)))
+    r.register(Metric("modification_json_token_count", ("changes_json",), json_token_metric))
+    r.register(Metric("style_consistency_score_task2", ("style_reply_task2",), lambda reply: judged_score(reply, 2)))
+    r.register(Metric("xdrfr", ("satisfied",), share_of))
+    r.register(Metric("xml_edit_distance", ("xml_before", "xml_after"), edit_metric))
     return r

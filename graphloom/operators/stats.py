@@ -86,3 +86,15 @@ def density_estimate(df: DataFrame, c: str, points: int = 50) -> DataFrame:
     u = (F.col("x") - middle) / F.col("h")
     pairs = F.broadcast(marks).join(F.broadcast(grid), F.lit(True))  # points x 8 points rows
     return pairs.groupBy("x").agg((F.sum(F.col("n") * F.exp(-u * u / 2)) / F.first(F.col("total") * F.col("h") * 2.5066282746310002)).alias("density"))
+
+
+def axis_bounds(df: DataFrame, x: str, y: str) -> DataFrame:
+    """One row: a zone around all points with margins of 0.3 of their span, fixed sizes where there is no span, and the limits of the y axis."""
+    b = df.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"))
+    wide, high = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    mx, my = F.when(wide > 0, wide * 0.3).otherwise(0.05), F.when(high > 0, high * 0.3).otherwise(0.02)
+    out = {
+        "zone_x": F.col("x0") - mx, "zone_y": F.col("y0") - my, "zone_width": F.when(wide > 0, wide + 2 * mx).otherwise(0.15), "zone_height": F.when(high > 0, high + 2 * my).otherwise(0.05),
+        "y_lower": F.col("y0") - high * 0.5, "y_upper": F.col("y1") + high * 0.2,
+    }
+    return b.select(*[F.round(c, 6).alias(n) for n, c in out.items()])

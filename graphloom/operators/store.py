@@ -7,6 +7,7 @@ sequence per key and metric. That is one map-side combined aggregation.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,3 +48,31 @@ def still_to_do(keys_table: DataFrame, scores: DataFrame, keys: list[str], enabl
 def wide(scores: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     """One row per key and one column per metric, whatever its success; one value per cell is expected, the greatest counts."""
     return scores.groupBy(*keys).agg(*[F.max(F.when(F.col("metric") == m, F.col("score"))).alias(m) for m in metrics])
+
+
+class ScoreCache:
+    """Scores kept by key for the length of a session: computed at the first use, read from the executors' storage afterwards.
+
+    Blocks that do not fit into memory go to disk, and blocks of a lost executor are computed again.
+    """
+
+    def __init__(self, scores: DataFrame, keys: list[str]):
+        self.keys, self._scores = keys, scores
+        self._kept: DataFrame | None = None
+
+    def get(self, **key: str) -> DataFrame:
+        """The rows of a key, or of a part of it; all without one."""
+        if self._kept is None:
+            self._kept = self._scores.persist(StorageLevel.MEMORY_AND_DISK)
+        rows = self._kept
+        for name, value in key.items():
+            if name not in self.keys:
+                raise KeyError(name)
+            rows = rows.where(F.col(name).eqNullSafe(F.lit(value)))
+        return rows
+
+    def clear(self) -> None:
+        """Forget the rows, so that the next use computes them anew."""
+        if self._kept is not None:
+            self._kept.unpersist()
+            self._kept = None

@@ -49,12 +49,12 @@ def _(t: Tables):
     return a.join(b, "model")
 
 
-@q("hash_lookup_J4", f"""WITH h AS (SELECT lower(trim(image_hash_md5, E' \\t\\n\\r')) AS md5, min(sample_id) AS sample_id FROM sample_meta WHERE domain < 'domain_d' GROUP BY 1),
+@q("hash_lookup_J4", f"""WITH h AS (SELECT lower(trim(image_hash_md5, E' \\t\\n\\r')) AS md5, min(sample_id) AS sample_id FROM sample_meta GROUP BY 1),
 n AS (SELECT DISTINCT {DOMAIN} AS domain, sample_id AS image, lower(trim(image_hash_md5, E' \\t\\n\\r')) AS md5 FROM sample_meta WHERE image_hash_md5 IS NOT NULL)
 SELECT domain, image, n.md5, h.sample_id AS known FROM n LEFT JOIN h USING (md5)""")
 def _(t: Tables):
     """The known sample of an image with the same content; the others get new ids."""
-    known = t.sample_meta.where("domain < 'domain_d'").groupBy(folded(F.col("image_hash_md5")).alias("md5")).agg(F.min("sample_id").alias("known"))
+    known = t.sample_meta.groupBy(folded(F.col("image_hash_md5")).alias("md5")).agg(F.min("sample_id").alias("known"))
     images = t.sample_meta.where("image_hash_md5 IS NOT NULL").select(folded(F.col("domain")).alias("domain"), F.col("sample_id").alias("image"), folded(F.col("image_hash_md5")).alias("md5")).distinct()
     return images.join(known, "md5", "left").select("domain", "image", "md5", "known")
 
@@ -268,12 +268,31 @@ def _(t: Tables):
     """All enabled metrics of the registry in one pass."""
     from ..functions.metrics import default_registry
 
-    rows = t.diagrams.select("diagram_id", F.col("xml_content").alias("xml"), F.coalesce("is_valid", F.lit(False)).alias("rendered"))
+    rows = t.diagrams.select("diagram_id", F.col("xml_content").alias("xml"), F.coalesce("is_valid", F.lit(False)).alias("rendered"))  # no other metric has its input here
     out = default_registry().evaluate(rows, ["diagram_id"])
     missing = (F.col("metric") == "xml_token_count") & ~F.col("success")
     return out.withColumn("score", F.when(missing, F.lit(None)).otherwise(F.col("score"))).distinct()
 
 
+@q("evaluate_all_I5", """WITH e AS (SELECT event_id AS id, event_id % 3 AS r, event_id % 5 AS v FROM events)
+SELECT id, metric, CASE metric WHEN 'execution_success_rate' THEN CASE WHEN r = 0 THEN 0 ELSE 1 END WHEN 'xml_token_count' THEN length('<a>12345</a>') // 4 WHEN 'style_consistency_score' THEN v / 10.0 WHEN 'codevqa' THEN r / 3.0 WHEN 'siglip_score' THEN round(1 / sqrt(1.0 + v * v), 9)
+  WHEN 'modified_xml_execution_success_rate' THEN CASE WHEN r = 0 THEN 0 ELSE 1 END WHEN 'modified_xml_token_count' THEN length('<a>12345</a>') // 4 WHEN 'modification_json_token_count' THEN 3 WHEN 'style_consistency_score_task2' THEN v / 10.0 WHEN 'xdrfr' THEN (3 - r) / 3.0 WHEN 'xml_edit_distance' THEN CASE WHEN v = 0 THEN 0 ELSE 0.5 END END::DOUBLE AS score
+FROM e, (SELECT unnest(['execution_success_rate', 'xml_token_count', 'style_consistency_score', 'codevqa', 'siglip_score', 'modified_xml_execution_success_rate', 'modified_xml_token_count', 'modification_json_token_count', 'style_consistency_score_task2', 'xdrfr', 'xml_edit_distance']) AS metric)""")
+def _(t: Tables):
+    """All eleven metrics of both tasks in one pass, on inputs made from the id."""
+    from ..functions.metrics import default_registry
+
+    r, v = F.col("event_id") % 3, F.col("event_id") % 5
+    right = lambda n: F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda i: i < n)
+    judged = F.concat(F.lit('{"final_score": '), (v / 10).cast("string"), F.lit("}"))
+    rows = t.events.select(
+        F.col("event_id").alias("id"), F.lit("<a>12345</a>").alias("xml"), (r != 0).alias("rendered"), judged.alias("style_reply"), right(r).alias("answers_right"), F.array(F.lit(1.0), v.cast("double")).alias("image_vector"), F.array(F.lit(1.0), F.lit(0.0)).alias("render_vector"),
+        F.lit("<a>12345</a>").alias("modified_xml"), (r != 0).alias("modified_rendered"), F.lit('[{"a": "b"}]').alias("changes_json"), judged.alias("style_reply_task2"), right(3 - r).alias("satisfied"),
+        F.lit("one two").alias("xml_before"), F.when(v == 0, "one two").otherwise("one 2").alias("xml_after"),
+    )
+    return default_registry().evaluate(rows, ["id"]).select("id", "metric", F.when(F.col("metric") == "siglip_score", F.round("score", 9)).otherwise(F.col("score")).alias("score"))
+
+
 # --- quality ------------------------------------------------------------------
 
 PATH = "CASE WHEN repair_attempts = 3 THEN 'out/domain_other/' ELSE 'out/' || domain || '/' END || sample_id || '/x.png'"
@@ -332,19 +351,10 @@ def _(t: Tables):
 # --- answers ------------------------------------------------------------------
 
 
-@q("counting_answer", r"""WITH p AS (SELECT DISTINCT pair_id, regexp_replace(lower(trim(answer)), '[^a-z0-9_\s]', '', 'g') AS a FROM qa_pairs WHERE lower(trim(question_type)) = 'counting' AND answer IS NOT NULL AND NOT regexp_matches(answer, '[^\x00-\x7f]'))
-SELECT pair_id, CASE WHEN regexp_extract(a, '[0-9]+') != '' THEN regexp_extract(a, '[0-9]+') = (pair_id % 20)::VARCHAR ELSE regexp_replace(a, '\s+', ' ', 'g') = (pair_id % 20)::VARCHAR END AS correct FROM p""")
-def _(t: Tables):
-    """The counting rule, on answers in ASCII, against a number made from the id."""
-    from ..functions.metrics import counting_correct
-
-    p = t.qa_pairs.where("lower(trim(question_type)) = 'counting' AND answer IS NOT NULL").where(~F.col("answer").rlike(r"[^\x00-\x7f]")).select("pair_id", "answer").distinct()
-    return p.select("pair_id", counting_correct(F.col("answer"), (F.col("pair_id") % 20).cast("string")).alias("correct"))
-
-
-@q("counting_answer_M11")
+@q("counting_answer_M11", r"""WITH p AS (SELECT DISTINCT pair_id, regexp_replace(lower(trim(answer)), '[^\p{L}\p{M}\p{N}_\s\p{Z}]', '', 'g') AS a FROM qa_pairs WHERE lower(trim(question_type)) = 'counting' AND answer IS NOT NULL)
+SELECT pair_id, CASE WHEN regexp_extract(a, '\p{Nd}+') != '' THEN regexp_extract(a, '\p{Nd}+') = (pair_id % 20)::VARCHAR ELSE regexp_replace(a, '[\s\p{Z}]+', ' ', 'g') = (pair_id % 20)::VARCHAR END AS correct FROM p""")
 def _(t: Tables):
-    """The counting rule on all answers, in any letters, against a number made from the id; no SQL, whose classes know ASCII only."""
+    """The counting rule on all answers, in any letters, against a number made from the id."""
     from ..functions.metrics import counting_correct
 
     p = t.qa_pairs.where("lower(trim(question_type)) = 'counting' AND answer IS NOT NULL").select("pair_id", "answer").distinct()
@@ -358,6 +368,24 @@ def _(t: Tables):
     return p.select("pair_id", answer_correct("answer", "visual_anchor", "kind").alias("correct"))
 
 
+@q("accuracy_of_answers_A3")
+def _(t: Tables):
+    """Right answers by kind of question, by the cascade, against the anchor; total, correct, share of four and per cent of two digits."""
+    p = t.qa_pairs.select("pair_id", "answer", "visual_anchor", F.lower(F.trim("question_type")).alias("kind")).distinct()
+    right = F.count_if(answer_correct("answer", "visual_anchor", "kind"))
+    out = p.groupBy("kind").agg(F.count("*").alias("total"), right.alias("correct")).where("kind IS NOT NULL")
+    return out.withColumn("accuracy", F.round(F.col("correct") / F.col("total"), 4)).withColumn("percent", F.round(F.col("correct") * 100.0 / F.col("total"), 2))
+
+
+@q("score_cache_I10", f"WITH {WIDE} SELECT domain, model, count(*) AS scores FROM wide WHERE model IS NOT NULL AND domain IS NOT NULL GROUP BY ALL")
+def _(t: Tables):
+    """Scores of a (model, domain) are computed once and read from the cache afterwards."""
+    rows = wide(t).where("model IS NOT NULL AND domain IS NOT NULL")
+    cache = store.ScoreCache(rows, ["model", "domain"])
+    scores = cache.get()
+    return scores.groupBy("domain", "model").agg(F.count("*").alias("scores"))
+
+
 @q("yes_no_normalise", "SELECT DISTINCT pair_id, CASE WHEN lower(trim(answer)) IN ('yes', 'true', '1', '是') THEN 'Yes' ELSE 'No' END AS reply FROM qa_pairs")
 def _(t: Tables):
     """M19."""

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics as me
 from ..functions import scoring as sc
 from ..functions.text import folded
-from ..operators import matching
+from ..operators import matching, stats
 from ..sources import readers, writers
 from ..staging import Stage
 from ..streaming.ingest import merge_stream
@@ -33,13 +35,6 @@ def _(t: Tables):
     return t.diagrams.select("diagram_id", me.token_metric(x)[0].alias("task1"), me.token_metric(x, 0.0)[0].alias("task2")).distinct()
 
 
-@q("change_tokens_M16", "SELECT DISTINCT description_id, CASE WHEN components IS NULL THEN 0 ELSE 1 END::BIGINT AS has FROM descriptions")
-def _(t: Tables):
-    """Whether there is a change list to count; the counts are ``change_token_count_M16``."""
-    tokens = F.when(F.col("components").isNull(), 0).otherwise(sc.token_estimate(sc.canonical_json("components")))
-    return t.descriptions.select("description_id", (tokens > 0).cast("bigint").alias("has")).distinct()
-
-
 @q("change_token_count_M16")
 def _(t: Tables):
     """Tokens of the canonical text of a change list. The metric fails with 0 if it is missing or no JSON; the evaluator skips a missing one as NULL."""
@@ -106,13 +101,6 @@ def _(t: Tables):
     return matching.element_recall(d, "description_id", "original", "summary")
 
 
-@q("element_recall_M8", "SELECT DISTINCT description_id, 0::BIGINT AS elements FROM descriptions WHERE summary IS NOT NULL AND NOT regexp_matches(summary, '节点|连接|线|元素|矩形|圆形')")
-def _(t: Tables):
-    """Descriptions without lines that name elements; the recall itself is ``element_recall_rate_M8``."""
-    lines = F.filter(F.split("summary", "\n"), sc.looks_like_element)
-    return t.descriptions.where("summary IS NOT NULL").select("description_id", F.size(lines).alias("elements")).distinct().where("elements = 0")
-
-
 @q("jaccard_words", r"""WITH p AS (SELECT DISTINCT pair_id, question, visual_anchor FROM qa_pairs), w AS (SELECT pair_id, list_distinct(list_filter(string_split_regex(lower(question), '\s+'), lambda x: x != '')) AS a, list_distinct(list_filter(string_split_regex(lower(visual_anchor), '\s+'), lambda x: x != '')) AS b FROM p)
 SELECT pair_id, round(CASE WHEN len(a) > 0 AND len(b) > 0 THEN len(list_intersect(a, b)) / len(list_distinct(a || b)) ELSE 0 END, 9) AS similarity FROM w""")
 def _(t: Tables):
@@ -220,13 +208,12 @@ def _(t: Tables):
     return d.select("diagram_id", "f.valid", "f.elements", "f.nodes", "f.edges", F.array_join("f.errors", "; ").alias("errors"))
 
 
-@q("patch_apply", "SELECT p_partkey, replace(p_name, split_part(p_name, ' ', 1), 'NEW') AS name FROM part WHERE strpos(p_name[2:], split_part(p_name, ' ', 1)) = 0")
+@q("patch_apply", "SELECT p_partkey, 'NEW' || p_name[length(split_part(p_name, ' ', 1)) + 1:] AS name FROM part")
 def _(t: Tables):
-    """The exact step."""
+    """The exact step; of a fragment that recurs the first place counts."""
     first = F.get(F.split("p_name", " "), F.lit(0))
     change = F.array(F.struct(first.alias("original_fragment"), F.lit("NEW").alias("modified_fragment")), F.struct(F.lit("not there").alias("original_fragment"), F.lit("x").alias("modified_fragment")))
-    once = F.position(first, F.substring("p_name", F.lit(2), F.length("p_name"))) == 0
-    return t.part.where(once).select("p_partkey", me.patch_exact(F.col("p_name"), change).alias("name"))
+    return t.part.select("p_partkey", me.patch_exact(F.col("p_name"), change).alias("name"))
 
 
 @q("patch_apply_spaced_M30", "SELECT p_partkey, 'NEW' AS name FROM part")
@@ -236,12 +223,15 @@ def _(t: Tables):
     return t.part.select("p_partkey", me.patch(F.col("p_name"), change).alias("name"))
 
 
-@q("single_evaluation_M32", "SELECT min(diagram_id) AS diagram_id, 1.0::DOUBLE AS execution_success_rate FROM diagrams WHERE is_valid AND xml_content IS NOT NULL")
+@q("single_evaluation_M32", "SELECT diagram_id, 1.0::DOUBLE AS execution_success_rate, greatest(1, length(xml_content) // 4)::DOUBLE AS xml_token_count FROM (SELECT DISTINCT diagram_id, xml_content FROM diagrams WHERE is_valid AND xml_content IS NOT NULL) ORDER BY diagram_id LIMIT 1")
 def _(t: Tables):
-    """One diagram, evaluated by the registry."""
+    """One diagram, evaluated by the registry (M1, M2); the evaluation document is written and read back."""
+    base = _stage(t, "evaluation")
     one = t.diagrams.where("is_valid AND xml_content IS NOT NULL").orderBy("diagram_id").limit(1)
     rows = me.default_registry().evaluate(one.select("diagram_id", F.col("xml_content").alias("xml"), F.lit(True).alias("rendered")), ["diagram_id"])
-    return rows.where("metric = 'execution_success_rate'").select("diagram_id", F.col("score").alias("execution_success_rate"))
+    document = rows.groupBy("diagram_id").agg(*[F.max(F.when(F.col("metric") == m, F.col("score"))).alias(m) for m in ("execution_success_rate", "xml_token_count")])
+    writers.write_documents(document, base)
+    return t.spark.read.schema("diagram_id bigint, execution_success_rate double, xml_token_count double").json(base)
 
 
 # --- scans and sinks: written, read again, compared with the table ---------------
@@ -266,19 +256,25 @@ def _(t: Tables):
     return readers.read_fragments(t.spark, base, "sample_id string, element_count int, xml_token_count int, domain string").where(F.col("domain").isin("domain_software_domain_uml", "domain_general_domain_mindmap"))
 
 
-@q("fragment_modes_S9_S10", f"SELECT DISTINCT {DOMAIN} AS domain, split_part(model_used, '/', -1) AS model, diagram_id FROM diagrams WHERE split_part(model_used, '/', -1) = 'sketch-large'")
+_FRAGMENTS = f"d AS (SELECT DISTINCT {DOMAIN} AS domain, split_part(model_used, '/', -1) AS model, diagram_id FROM diagrams)"
+
+
+@q("fragment_modes_S9_S10", f"""WITH {_FRAGMENTS} SELECT 'both' AS mode, * FROM d WHERE model = 'sketch-large' AND domain = 'domain_software_domain_uml' UNION ALL SELECT 'model', * FROM d WHERE model = 'sketch-large'
+UNION ALL SELECT 'domain', * FROM d WHERE domain = 'domain_software_domain_uml' UNION ALL SELECT 'all', * FROM d""")
 def _(t: Tables):
-    """Fragments by model and domain, read for one model."""
+    """Fragments by model and domain, read in the four modes."""
     base = _stage(t, "fragments")
-    writers.write_fragments(wide(t).select("domain", "model", "diagram_id"), base, ["model", "domain"])
-    return readers.read_fragments(t.spark, base, "diagram_id bigint, model string, domain string").where("model = 'sketch-large'")
+    writers.write_fragments(wide(t).select("domain", "model", "diagram_id").distinct(), base, ["model", "domain"])
+    modes = {"both": ("sketch-large", "domain_software_domain_uml"), "model": ("sketch-large", None), "domain": (None, "domain_software_domain_uml"), "all": (None, None)}
+    parts = [readers.existing_fragments(t.spark, base, "diagram_id bigint, model string, domain string", *m).select(F.lit(name).alias("mode"), "domain", "model", "diagram_id") for name, m in modes.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @q("two_shapes_S12", "SELECT event_id, value FROM events")
 def _(t: Tables):
     """The same list inside an object and bare."""
     row = F.to_json(F.struct("event_id", "value"))
-    group = F.pmod("event_id", F.lit(97))
+    group = F.floor(F.col("event_id") / 1000)  # documents of a thousand ids
     listed = t.events.groupBy(group.alias("g")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(row), ","), F.lit("]")).alias("doc"))
     docs = listed.select(F.when(F.col("g") % 2 == 0, F.concat(F.lit('{"samples":'), "doc", F.lit("}"))).otherwise(F.col("doc")).alias("doc"))
     return readers.rows_of_documents(docs, "doc", "array<struct<event_id:bigint,value:double>>", ["samples", "instructions"])
@@ -301,7 +297,10 @@ def _(t: Tables):
 
 @q("model_discovery_S20", f"WITH {WIDE} SELECT DISTINCT model FROM wide WHERE model IS NOT NULL")
 def _(t: Tables):
-    return wide(t).select("model").where("model IS NOT NULL").distinct().orderBy("model")
+    """The models whose folders exist, by name."""
+    base = _stage(t, "models")
+    writers.write_fragments(wide(t).select("domain", "model", "diagram_id"), base, ["model", "domain"])
+    return readers.read_fragments(t.spark, base, "diagram_id bigint, model string, domain string").select("model").where("model IS NOT NULL").distinct().orderBy("model")
 
 
 @q("figures_S16", "SELECT DISTINCT description_id, i::BIGINT AS place, a AS caption FROM (SELECT description_id, unnest(annotations) AS a, unnest(range(1, len(annotations) + 1)) AS i FROM descriptions)")
@@ -332,21 +331,33 @@ def _(t: Tables):
     return t.spark.read.schema("doc_id bigint, approved boolean, is_candidate boolean").json(base)
 
 
-@q("status_index_K11_K12_K13", f"WITH {WIDE} SELECT domain, count(*) AS samples, count(*) FILTER (is_valid) AS approved FROM wide GROUP BY domain")
+@q("status_index_K11_K12_K13", f"WITH {WIDE} SELECT domain, count(*) AS samples, count(*) FILTER (is_valid) AS approved, round(count(*) FILTER (is_valid) / count(*), 6) AS progress FROM wide GROUP BY domain")
 def _(t: Tables):
-    """An index document per domain, read back."""
+    """Index documents (K11), copies of the approved samples (K12) and a progress document per domain (K13), written and read back.
+
+    An index document has the samples of a domain whose ids fall into the same thousand, so no document grows with its domain.
+    """
+    base = _stage(t, "index")
     w = wide(t)
-    index = writers.nested(w, ["domain"], ["sample_id", "model", "is_valid"], "samples")
-    ok = F.size(F.filter("samples", lambda s: F.coalesce(s["is_valid"], F.lit(False))))
-    return index.select("domain", F.size("samples").alias("samples"), ok.alias("approved"))
+    index = writers.nested(w.withColumn("part", F.floor(F.col("diagram_id") / 1000)), ["domain", "part"], ["sample_id", "model", "is_valid"], "samples")
+    progress = w.groupBy("domain").agg(F.round(F.count_if("is_valid") / F.count("*"), 6).alias("progress"))
+    writers.write_parts({"index": index, "approved": w.where("is_valid").select("domain", "sample_id", "diagram_id"), "progress": progress}, base)
+    read = readers.read_parts(t.spark, base, {"index": "domain string, samples array<struct<sample_id:string,is_valid:boolean>>", "approved": "domain string, diagram_id bigint", "progress": "domain string, progress double"})
+    counts = read["index"].groupBy("domain").agg(F.sum(F.size("samples")).alias("samples"))
+    copies = read["approved"].groupBy("domain").agg(F.count("*").alias("approved"))
+    return counts.join(copies, "domain", "left").fillna(0, ["approved"]).join(read["progress"], "domain")
 
 
 @q("delete_by_predicate_K15", f"WITH m AS ({META}) SELECT * FROM m WHERE domain IN (SELECT domain FROM m GROUP BY domain HAVING count(*) >= 30)")
 def _(t: Tables):
-    """Small shards go; the rest is rewritten."""
-    m = _meta(t)
-    keep = m.groupBy("domain").count().where("count >= 30").select("domain")
-    return m.join(keep, "domain", "left_semi")
+    """Folders of small shards are deleted; what stays is read back."""
+    base = _stage(t, "shards")
+    _meta(t).write.partitionBy("domain").parquet(base)
+    schema = "sample_id string, element_count int, xml_token_count int, domain string"
+    rows = t.spark.read.schema(schema).parquet(base)
+    small = rows.groupBy("domain").count().where("count < 30").select("domain")
+    writers.delete_folders(t.spark, rows.select("domain", "_metadata").join(small, "domain", "left_semi"))
+    return t.spark.read.schema(schema).parquet(base)
 
 
 @q("chart_data_K14", f"WITH {WIDE} SELECT domain, model, count(*) AS n, round(avg(generation_time), 9) AS mean_time FROM wide GROUP BY ALL")
@@ -355,6 +366,27 @@ def _(t: Tables):
     return wide(t).groupBy("domain", "model").agg(F.count("*").alias("n"), F.round(F.avg("generation_time"), 9).alias("mean_time"))
 
 
+@q("chart_points_K14", f"""WITH {WIDE}, m AS (SELECT model, count(*) AS n, avg(xml_token_count) AS x, avg(execution_success_rate) AS y FROM wide GROUP BY model)
+SELECT 'bar' AS chart, model AS name, NULL::DOUBLE AS x, n::DOUBLE AS y FROM m UNION ALL SELECT 'pie', model, NULL, round(n / sum(n) OVER (), 9) FROM m UNION ALL SELECT 'scatter', model, round(x, 6), round(y, 6) FROM m""")
+def _(t: Tables):
+    """What a bar chart, a pie and a scatter plot of the models show; histogram and box are A15."""
+    m = wide(t).groupBy("model").agg(F.count("*").alias("n"), F.avg("xml_token_count").alias("x"), F.avg("execution_success_rate").alias("y"))
+    total = m.agg(F.sum("n").alias("all"))  # one row
+    m = m.crossJoin(F.broadcast(total))
+    none = F.lit(None).cast("double")
+    points = F.array(F.struct(F.lit("bar").alias("chart"), none.alias("x"), F.col("n").cast("double").alias("y")), F.struct(F.lit("pie").alias("chart"), none.alias("x"), F.round(F.col("n") / F.col("all"), 9).alias("y")), F.struct(F.lit("scatter").alias("chart"), F.round("x", 6).alias("x"), F.round("y", 6).alias("y")))
+    return m.select(F.col("model").alias("name"), F.inline(points)).select("chart", "name", "x", "y")
+
+
+@q("axis_bounds_P44", f"""WITH {WIDE}, m AS (SELECT model, avg(xml_token_count) AS x, avg(execution_success_rate) AS y FROM wide GROUP BY model), b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM m),
+e AS (SELECT *, CASE WHEN x1 > x0 THEN (x1 - x0) * 0.3 ELSE 0.05 END AS mx, CASE WHEN y1 > y0 THEN (y1 - y0) * 0.3 ELSE 0.02 END AS my FROM b)
+SELECT round(x0 - mx, 6) AS zone_x, round(y0 - my, 6) AS zone_y, round(CASE WHEN x1 > x0 THEN x1 - x0 + 2 * mx ELSE 0.15 END, 6) AS zone_width, round(CASE WHEN y1 > y0 THEN y1 - y0 + 2 * my ELSE 0.05 END, 6) AS zone_height, round(y0 - (y1 - y0) * 0.5, 6) AS y_lower, round(y1 + (y1 - y0) * 0.2, 6) AS y_upper FROM e""")
+def _(t: Tables):
+    """The highlighted zone around the models and the limits of the axis."""
+    m = wide(t).groupBy("model").agg(F.avg("xml_token_count").alias("x"), F.avg("execution_success_rate").alias("y"))
+    return stats.axis_bounds(m, "x", "y")
+
+
 @q("stream_merge", "SELECT event_type, user_id, arg_max(value, (ts, event_id)) AS value, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY ALL")
 def _(t: Tables):
     """Fragments read as a stream and merged by the last write."""

@@ -41,6 +41,14 @@ def read_fragments(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def existing_fragments(spark: SparkSession, path: str, schema: str, model: str | None = None, domain: str | None = None) -> DataFrame:
+    """The results that exist in folders by model and domain: of one (model, domain), of a model, of a domain, or all. Folders that do not fit are not read."""
+    rows = read_fragments(spark, path, schema)
+    for name, value in (("model", model), ("domain", domain)):
+        rows = rows if value is None else rows.where(F.col(name) == value)
+    return rows
+
+
 def rows_of_documents(df: DataFrame, document: str, rows: str, names: list[str]) -> DataFrame:
     """The rows of documents that hold a list under one of the names, or are the list."""
     doc = F.try_parse_json(F.col(document))
@@ -73,6 +81,16 @@ def load_results(parts: dict[str, DataFrame], key: list[str], whole: DataFrame |
     return out
 
 
+def read_parts(spark: SparkSession, path: str, schemas: dict[str, str]) -> dict[str, DataFrame]:
+    """The parts of results that ``writers.write_parts`` wrote; one that was never written is an empty table."""
+    out = {}
+    for name, schema in schemas.items():
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+        out[name] = spark.read.schema(schema).json(f"{path}/{name}") if there else spark.createDataFrame([], schema)
+    return out
+
+
 def work_list(xml_files: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, xml path, png path) of every XML file that is to be rendered."""
     return xml_files.select(*keys, F.col("path").alias("xml_path"), F.regexp_replace("path", r"\.xml$", ".png").alias("png_path"))

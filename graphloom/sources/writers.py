@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -36,6 +36,24 @@ def write_results(df: DataFrame, path: str, keys: list[str]) -> None:
     df.write.mode("overwrite").partitionBy(*keys).parquet(path)
 
 
+def write_parts(parts: dict[str, DataFrame], path: str) -> None:
+    """The parts of results, each a folder of JSON rows with the keys of the results: a metadata, a diagram, a description, the whole result."""
+    for name, df in parts.items():
+        write_documents(df, f"{path}/{name}")
+
+
+def delete_folders(spark: SparkSession, files: DataFrame) -> int:
+    """Delete the folders of rows read from files, as one ``find ... -delete`` would; gives their number.
+
+    Only names of folders come to the driver, as many as there are keys in the folder structure.
+    """
+    folders = files.select(F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("f")).distinct().collect()
+    for r in folders:
+        target = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(r.f))
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return len(folders)
+
+
 def delete_rows(df: DataFrame, condition: str) -> DataFrame:
     """What stays after a delete: rows for which the condition is false or unknown."""
     return df.where(f"NOT coalesce({condition}, false)")

@@ -147,3 +147,47 @@ def test_empty_frames(spark):
     assert stats.shares(none, "k").count() == 0
     assert store.latest(none, ["model"], ["v"], ["k"]).count() == 0
     assert ranking.number_onwards(none, ["k"], 1).count() == 0
+
+
+def test_registry_of_both_tasks(spark):
+    """Metrics whose inputs are not there are left out; missing inputs fail as their rules say."""
+    registry = me.default_registry()
+    assert len(registry.metrics) == 11
+    df = spark.createDataFrame([(1, None, [True, None, False, True], None, "[1"), (2, '{"final_score": 0, "analysis": {"dimension_scores": {"style_consistency": 8, "aesthetic_quality": 4}}}', [], [1.0, 0.0], "[]")], "id int, style_reply_task2 string, satisfied array<boolean>, image_vector array<double>, changes_json string")
+    df = df.withColumn("render_vector", F.array(F.lit(1.0), F.lit(0.0)))
+    got = {(r.id, r.metric): (r.score, r.success) for r in registry.evaluate(df, ["id"]).collect()}
+    assert got == {
+        (1, "style_consistency_score_task2"): (0.0, False), (1, "xdrfr"): (0.5, True), (1, "siglip_score"): (None, False), (1, "modification_json_token_count"): (0.0, False),
+        (2, "style_consistency_score_task2"): (0.6, True), (2, "xdrfr"): (0.0, False), (2, "siglip_score"): (1.0, True), (2, "modification_json_token_count"): (1.0, True),
+    }
+
+
+def test_accuracy_of_answers_is_that_of_the_cascade(spark):
+    from graphloom.plans.catalogue import QUERIES
+
+    rows = {tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/qa_pairs.parquet").selectExpr("pair_id", "answer", "visual_anchor", "lower(trim(question_type))").distinct().collect()}
+    want = {}
+    for _, answer, anchor, kind in rows:
+        if kind is not None:
+            n, right = want.get(kind, (0, 0))
+            want[kind] = (n + 1, right + bool(me.answer_is_correct(answer, anchor, kind)))
+    assert {r.kind: (r.total, r.correct) for r in QUERIES["accuracy_of_answers_A3"](spark, "/root/testdata/sf0.001").collect()} == want
+
+
+def test_score_cache(spark):
+    from graphloom.operators.store import ScoreCache
+
+    cache = ScoreCache(spark.createDataFrame([("d", "m", 1.0), ("d", None, 2.0)], "domain string, model string, score double"), ["domain", "model"])
+    assert cache.get(domain="d").count() == 2 and [r.score for r in cache.get(domain="d", model=None).collect()] == [2.0]
+    assert cache.get().storageLevel.useMemory
+    cache.clear()
+    with pytest.raises(KeyError):
+        cache.get(score="1")
+    cache.clear()
+
+
+def test_axis_bounds_without_span(spark):
+    from graphloom.operators.stats import axis_bounds
+
+    r = axis_bounds(spark.createDataFrame([(1.0, 2.0), (None, 2.0)], "x double, y double"), "x", "y").first()
+    assert tuple(r) == (0.95, 1.98, 0.15, 0.05, 2.0, 2.0)
