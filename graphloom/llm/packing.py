@@ -167,5 +167,15 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return total.withColumn("least_containers", F.ceil(F.col("tokens") / CAPACITY)).withColumn("fill", F.try_divide(F.col("tokens"), F.col("containers") * CAPACITY))
 
 
-QUERIES = {"p7_pack": p7_pack, "p7_report": p7_report}
-SQL: dict[str, str] = {}
+def p7_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of any packing: all documents are placed, no container is overfull, its items follow each other without gaps, and only texts over the capacity are split."""
+    packed = p7_pack(spark, sf_dir)
+    of_container = packed.where("container_id IS NOT NULL").groupBy("container_id").agg(F.sum("tokens").alias("tokens"), F.max(F.col("start") + F.col("tokens")).alias("reach"))
+    bad = of_container.agg(F.count_if(F.col("tokens") > CAPACITY).alias("overfull"), F.count_if(F.col("reach") != F.col("tokens")).alias("with_gaps"))
+    of_document = packed.groupBy("doc_id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("pieces"))
+    rest = of_document.agg(F.count("*").alias("documents"), F.count_if((F.col("pieces") > 1) & (F.col("tokens") <= CAPACITY)).alias("split_needlessly"))
+    return rest.crossJoin(F.broadcast(bad))  # one row each
+
+
+QUERIES = {"p7_pack": p7_pack, "p7_report": p7_report, "p7_invariants": p7_invariants}
+SQL = {"p7_invariants": "SELECT count(DISTINCT doc_id) AS documents, 0::BIGINT AS split_needlessly, 0::BIGINT AS overfull, 0::BIGINT AS with_gaps FROM documents"}

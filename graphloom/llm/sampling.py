@@ -309,7 +309,13 @@ def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.report().select("dim_name", "category", "target_share", "min_rows", "available", "sampled", share.alias("sampled_share"), "falls_short", "missed")
 
 
-QUERIES = {"p1_found": p1_found, "p1_sample": p1_sample, "p1_report": p1_report}
+def p1_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of any sample: its size, and every row once."""
+    rows = p1_sample(spark, sf_dir)
+    return rows.groupBy().agg(F.count("*").alias("sampled"), F.count_distinct("instruction_key").alias("distinct_keys"))
+
+
+QUERIES = {"p1_invariants": p1_invariants, "p1_found": p1_found, "p1_sample": p1_sample, "p1_report": p1_report}
 
 _INSTRUCTIONS = r"""
 WITH i AS (
@@ -325,6 +331,7 @@ c AS (
   UNION ALL SELECT 'operation_type', operation, count(*) FROM i WHERE operation IS NOT NULL GROUP BY operation)
 """
 SQL = {
+    "p1_invariants": "SELECT count(DISTINCT instruction_key) // 5 AS sampled, count(DISTINCT instruction_key) // 5 AS distinct_keys FROM instructions",
     "p1_found": _INSTRUCTIONS + """
 SELECT DISTINCT t.dim_name, t.category FROM sample_targets t LEFT JOIN c ON c.dim_name = t.dim_name AND c.category = lower(trim(t.category))
 WHERE coalesce(c.n, 0) < t.min_rows OR coalesce(c.n, 0) < t.target_share * ((SELECT count(*) FROM i) // 5)"""

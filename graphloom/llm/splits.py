@@ -125,9 +125,17 @@ def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_level.join(of_split, "split").select("split", "level", "rows", "groups", (F.col("rows") / F.col("all_rows")).alias("share"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_split": p2_split, "p2_report": p2_report}
+def p2_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of any split: every distinct instruction has one place, and no group is in two splits."""
+    rows = p2_split(spark, sf_dir)
+    of_group = rows.groupBy("group_key").agg((F.min("split") != F.max("split")).alias("apart"), F.count("*").alias("n"), F.count("split").alias("placed"))
+    return of_group.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum("placed"), F.lit(0)).alias("placed"), F.count_if("apart").alias("groups_apart"))
+
+
+QUERIES = {"p2_invariants": p2_invariants, "p2_found": p2_found, "p2_split": p2_split, "p2_report": p2_report}
 #: Reachability over values and their minimum; quadratic in the largest group, so for small tables only.
 SQL = {
+    "p2_invariants": "SELECT count(DISTINCT instruction_key) AS rows, count(DISTINCT instruction_key) AS placed, 0::BIGINT AS groups_apart FROM instructions",
     "p2_found": r"""
 WITH RECURSIVE i AS (
   SELECT DISTINCT instruction_key, lower(trim(domain, E' \t\n\r')) || '/' || lower(trim(sample_id, E' \t\n\r')) AS s, lower(trim(author, E' \t\n\r')) AS a FROM instructions),
