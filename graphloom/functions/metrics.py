@@ -49,21 +49,38 @@ def tree_sequence(text: str | None) -> list[str] | None:
     return [part for e in root.iter() for part in (e.tag, *(f"{k}={v}" for k, v in sorted(e.attrib.items())))]
 
 
-_LETTERS = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType())])
+_LETTERS = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType()), T.StructField("longer", T.IntegerType())])
+
+
+def _letter(n: int) -> str:
+    """The n-th letter: short in UTF-8 for small n, and no surrogate."""
+    return chr(n + 1 if n + 1 < 0xD800 else n + 0x801)
+
+
+def differing(a: list[str], b: list[str]) -> tuple[list[str], list[str]]:
+    """Both sequences without their common beginning and end, which cost no edit."""
+    least, start, end = min(len(a), len(b)), 0, 0
+    while start < least and a[start] == b[start]:
+        start += 1
+    while end < least - start and a[-1 - end] == b[-1 - end]:
+        end += 1
+    return a[start : len(a) - end], b[start : len(b) - end]
 
 
 @F.pandas_udf(_LETTERS)
 def tree_letters(left: pd.Series, right: pd.Series) -> pd.DataFrame:
-    """Both trees of a pair as texts with one letter per part, equal parts the same letter; NULL if either is not well-formed."""
+    """Both trees of a pair, where they differ, as texts with one letter per part, equal parts the same letter, and the parts of the longer tree; NULL if either is not well-formed."""
     rows = []
     for pair in zip(left, right):
         trees = [tree_sequence(x) for x in pair]
         if None in trees:
-            rows.append((None, None))
+            rows.append((None, None, None))
             continue
         letters: dict[str, str] = {}
-        rows.append(tuple("".join(letters.setdefault(p, chr(0x10000 + len(letters))) for p in t) for t in trees))
-    return pd.DataFrame(rows, columns=["a", "b"])
+        texts = ["".join(letters.setdefault(p, _letter(len(letters))) for p in t) for t in differing(*trees)]
+        rows.append((*texts, max(map(len, trees))))
+    out = pd.DataFrame(rows, columns=["a", "b", "longer"])
+    return out.assign(longer=out["longer"].astype("Int32"))
 
 
 def _share(distance: Column, a: Column, b: Column) -> Column:
@@ -88,7 +105,7 @@ def with_tree_distance(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
     """
     rows = df.withColumn("_t", tree_letters(a, b))
     x, y = F.col("_t.a"), F.col("_t.b")
-    by_tree = _share(F.levenshtein(x, y), F.length(x), F.length(y))
+    by_tree = F.coalesce(F.try_divide(F.levenshtein(x, y).cast("double"), F.col("_t.longer")), F.lit(0.0))
     return rows.withColumn(name, F.when(x.isNotNull(), by_tree).otherwise(edit_distance(F.col(a), F.col(b)))).drop("_t")
 
 

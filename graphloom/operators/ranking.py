@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import Stage
+
 
 def screen_top(df: DataFrame, score: str, candidate: Column, n: int, *ties: str) -> DataFrame:
     """All rows with ``is_candidate``: if more than n are candidates, only the n best rows stay so; no row is removed.
@@ -33,8 +35,9 @@ def number_onwards(df: DataFrame, order: list[str], start: Column | int, buckets
     Ranges of the order are counted apart and shifted by what lies before them, so no task sees all rows.
     """
     parts = df.repartitionByRange(buckets, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    inside = parts.withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.col("_p").cast("bigint"), 33))
-    sizes = parts.groupBy("_p").count()
+    # Written once: both the places and the sizes of the ranges come from the same ranges, also if a task runs again.
+    inside = Stage(df.sparkSession, "number").put(parts.withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.col("_p").cast("bigint"), 33)))
+    sizes = inside.groupBy("_p").count()
     before = F.broadcast(sizes.withColumn("_b", F.sum("count").over(Window.orderBy("_p")) - F.col("count")).select("_p", "_b"))
     base = F.lit(start) if isinstance(start, int) else start
     return inside.join(before, "_p").withColumn("number", base + F.col("_b") + F.col("_i")).drop("_p", "_b", "_i")

@@ -191,3 +191,10 @@ def test_axis_bounds_without_span(spark):
 
     r = axis_bounds(spark.createDataFrame([(1.0, 2.0), (None, 2.0)], "x double, y double"), "x", "y").first()
     assert tuple(r) == (0.95, 1.98, 0.15, 0.05, 2.0, 2.0)
+
+
+def test_differing_parts():
+    assert me.differing(list("abcd"), list("axcd")) == (["b"], ["x"])
+    assert me.differing(list("aa"), list("aaa")) == ([], ["a"])
+    assert me.differing([], list("ab")) == ([], ["a", "b"]) and me.differing(list("ab"), list("ab")) == ([], [])
+    assert len({me._letter(n) for n in range(70_000)}) == 70_000 and not any("\ud800" <= me._letter(n) <= "\udfff" for n in range(70_000))
