@@ -6,8 +6,8 @@ it, for templates that go on differently, after a short lead-in ("Well," /
 'Regarding "X":') and quoted labels are taken off. They may be as short as two
 words and need not be terminated. Equal openings are counted first, so that a
 template is one row however often it occurs; the distinct openings are then
-clustered by MinHash over shingles of five words in ``BANDS`` bands, and every
-candidate pair is verified. A cluster that answers prompts of unrelated kinds
+clustered by their shingles of five words: all with a similarity of at least
+``SIMILARITY`` are tied, through others too (``opening_clusters``). A cluster that answers prompts of unrelated kinds
 (how many / what label / how related) does not depend on the prompt: it is a
 refusal. An answer that belongs to a kind, such as "There are 7 of them", stays
 within it. A prompt that names no kind has that of the prompts that begin like
@@ -55,7 +55,7 @@ SPEAKER = r"\b(i|i'm|i've|me|my)\b|我"
 NO_KIND = ("", "other", "unknown", "none")
 
 OPENING_WORDS, STEM_WORDS, SHINGLE, SIMILARITY = 15, 6, 5, 0.8
-#: A pair of similarity 0.8 shares a band of two values with probability 0.64; all of 16 bands miss it in 1 of 12 million cases.
+#: Shape of ``band_keys``.
 BANDS, PER_BAND = 16, 2
 #: Log-likelihood by which another language must be ahead of that of the question.
 MARGIN = 0.5
@@ -120,7 +120,10 @@ _FACTORS = _RANDOM.integers(1, 1 << 61, BANDS * PER_BAND, dtype=np.uint64) | np.
 
 
 def band_keys(openings: list[list[str]]) -> np.ndarray:
-    """(openings, bands): the hash of each band of the MinHash signature. Openings must not be empty."""
+    """(openings, bands): the hash of each band of the MinHash signature. Openings must not be empty.
+
+    An estimate, which misses 1 of 12 million pairs of similarity 0.8; ``opening_clusters`` does without.
+    """
     runs = [shingles(o) for o in openings]
     flat = np.array([zlib.crc32(s.encode("utf-8", "surrogatepass")) | len(s) << 32 for r in runs for s in r], np.uint64)
     starts = np.cumsum([0] + [len(r) for r in runs[:-1]])
@@ -134,9 +137,9 @@ def band_keys(openings: list[list[str]]) -> np.ndarray:
 
 _FIELDS = [
     ("id", pa.int64()), ("kind", pa.string()), ("begins", pa.string()), ("defect", pa.string()), ("ends", pa.bool_()), ("sentence", pa.bool_()), ("learn", pa.bool_()),
-    ("near", pa.string()), ("far", pa.string()), ("fixed", pa.string()), ("last", pa.string()), ("opening", pa.string()), ("unable", pa.bool_()), ("bands", pa.list_(pa.int64())), ("stem", pa.string()), ("stem_bands", pa.list_(pa.int64())),
+    ("near", pa.string()), ("far", pa.string()), ("fixed", pa.string()), ("last", pa.string()), ("opening", pa.string()), ("unable", pa.bool_()), ("stem", pa.string()),
 ]
-_DDL = "id bigint, kind string, begins string, defect string, ends boolean, sentence boolean, learn boolean, near string, far string, fixed string, last string, opening string, unable boolean, bands array<bigint>, stem string, stem_bands array<bigint>"
+_DDL = "id bigint, kind string, begins string, defect string, ends boolean, sentence boolean, learn boolean, near string, far string, fixed string, last string, opening string, unable boolean, stem string"
 
 
 def check_rows(rows: list[tuple], model: LanguageModel) -> pa.RecordBatch:
@@ -178,15 +181,9 @@ def check_rows(rows: list[tuple], model: LanguageModel) -> pa.RecordBatch:
                 begin = None
         pair = lambda k: f"{bw[n - k]} {bw[n - k + 1]}" if n >= k else None
         learn = ends and common >= 2 and n >= 5 and same and not han
-        row = (id_, kind, " ".join(qw[:2]), defect, ends, sentence, learn, pair(3), pair(4), pair(2), bw[-1] if bw else None, " ".join(begin) if begin else None, unable, None, " ".join(begin[:STEM_WORDS]) if begin and len(begin) > STEM_WORDS else None)
+        row = (id_, kind, " ".join(qw[:2]), defect, ends, sentence, learn, pair(3), pair(4), pair(2), bw[-1] if bw else None, " ".join(begin) if begin else None, unable, " ".join(begin[:STEM_WORDS]) if begin and len(begin) > STEM_WORDS else None)
         for column, value in zip(out, row):
             column.append(value)
-    for text, keys in ((11, 13), (14, 15)):
-        at = [i for i, o in enumerate(out[text]) if o is not None]
-        bands: list[list[int] | None] = [None] * len(rows)
-        for i, k in zip(at, band_keys([out[text][i].split(" ") for i in at]).tolist() if at else []):
-            bands[i] = k
-        out[keys] = bands
     return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(out, _FIELDS)], names=[n for n, _ in _FIELDS])
 
 
@@ -239,18 +236,34 @@ def unfinished(rows: DataFrame, stage: Stage) -> DataFrame:
 
 
 def opening_clusters(distinct: DataFrame, stage: Stage) -> DataFrame:
-    """(opening, cluster) of rows (opening, bands), every opening once.
+    """(opening, cluster) of rows with an opening, every opening once: the connected components of all pairs with the similarity.
+
+    Two sets of at most eleven runs with |common| >= 0.8 |union| are either one inside the other, which has a quarter of
+    the common ones more at most (one or two), or have one run each that the other lacks, beside eight common ones at least.
+    So each set is put under itself and under what is left of it without one or two runs. Under a set that is an opening's
+    own all others are tied to that opening; under one that is not, those without one run and with eight left are all alike
+    and tied to the smallest. No pair is lost, none is enumerated, and every tie is verified on the runs.
 
-    Each bucket of a band ties its members to its smallest one, verified on the shingles.
-    A bucket is as large as the number of different openings in it, and is reduced to its smallest before it is joined.
+    If no three words of an opening come twice in it, its runs follow each other in one way only, and all that an alike
+    opening can lack are runs at its ends; only these are left out. Of the others every run is.
     """
-    index = stage.put(distinct.select("opening", F.explode("bands").alias("bucket")))
-    centre = index.groupBy("bucket").agg(F.min("opening").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n")
-    near = index.join(centre, "bucket").where("opening != centre").select("opening", "centre").distinct()
-    runs = lambda c: F.expr(f"array_distinct(transform(sequence(1, greatest(1, size(split({c}, ' ')) - {SHINGLE - 1})), i -> array_join(slice(split({c}, ' '), i, {SHINGLE}), ' ')))")
-    sides = near.withColumn("x", runs("opening")).withColumn("y", runs("centre"))
-    alike = F.size(F.array_intersect("x", "y")) >= F.lit(SIMILARITY) * F.size(F.array_union("x", "y")) - 1e-9
-    verified = sides.where(alike).select("opening", "centre")
+    split = distinct.select("opening", F.split("opening", " ").alias("w"))
+    of = lambda k: f"transform(sequence(1, greatest(1, size(w) - {k - 1})), i -> array_join(slice(w, i, {k}), ' '))"
+    runs = split.select("opening", F.expr(f"array_distinct({of(SHINGLE)})").alias("runs"), F.expr(f"size(w) < 3 OR size(array_distinct({of(3)})) = size(w) - 2").alias("plain"))
+    sets = stage.put(runs.withColumn("h", F.expr("transform(runs, x -> xxhash64(x))")).withColumn("n", F.size("runs")))
+    lacks = F.expr(f"int(floor({1 - SIMILARITY}D * n + 1e-9D))")
+    summed = sets.select("opening", "h", "n", "plain", lacks.alias("lacks"), F.expr("aggregate(h, 0L, (a, x) -> a ^ x)").alias("all"))
+    less = "filter(transform(h, (x, i) -> struct(if(NOT plain OR i IN (0, n - 1), all ^ x, NULL) AS bucket, 1 AS lost)), x -> x.bucket IS NOT NULL)"
+    lesser = (
+        "filter(flatten(transform(h, (x, i) -> transform(h, (y, j) -> struct(if(i < j AND (NOT plain OR i IN (0, n - 2) AND j IN (1, n - 1)), all ^ x ^ y, NULL) AS bucket, 2 AS lost)))), x -> x.bucket IS NOT NULL)"
+    )
+    keys = F.expr(f"concat(array(struct(all AS bucket, 0 AS lost)), if(lacks > 0, {less}, array()), if(lacks > 1, {lesser}, array()))")
+    index = stage.put(summed.select("opening", "n", F.explode(keys).alias("k")).select("opening", "k.*", F.expr(f"k.lost = 1 AND {1 - SIMILARITY}D * (n - 1) + 1e-9D >= {2 * SIMILARITY}D").alias("alike")))
+    centre = index.groupBy("bucket").agg(F.min(F.when(F.col("lost") == 0, F.col("opening"))).alias("own"), F.min(F.when(F.col("alike"), F.col("opening"))).alias("least"), F.count("*").alias("rows"))
+    centre = centre.where("rows > 1 AND (own IS NOT NULL OR least IS NOT NULL)").drop("rows")
+    near = index.join(centre, "bucket").where("own IS NOT NULL OR alike").select("opening", F.coalesce("own", "least").alias("centre")).where("opening != centre").distinct()
+    sides = near.join(sets.select("opening", F.col("runs").alias("x")), "opening").join(sets.select(F.col("opening").alias("centre"), F.col("runs").alias("y")), "centre")
+    verified = sides.where(F.size(F.array_intersect("x", "y")) >= F.lit(SIMILARITY) * F.size(F.array_union("x", "y")) - 1e-9).select("opening", "centre")
     ties = verified.select(F.concat_ws("\x00", "opening", "centre").alias("rec"), F.explode(F.array("opening", "centre")).alias("val"))
     label = components(ties, stage)
     return distinct.select("opening").join(label, distinct["opening"] == label["val"], "left").select("opening", F.coalesce("label", "opening").alias("cluster"))
@@ -266,9 +279,9 @@ def kinds_of(rows: DataFrame) -> DataFrame:
 
 
 def refusals(rows: DataFrame, stage: Stage) -> DataFrame:
-    """(opening, cluster) of the openings that are refusals; ``rows`` (opening, bands, kind, unable)."""
-    per = stage.put(rows.groupBy("opening", "kind").agg(F.count("*").alias("n"), F.count_if("unable").alias("unable"), F.first("bands").alias("bands")))
-    clusters = stage.put(opening_clusters(per.groupBy("opening").agg(F.first("bands").alias("bands")), stage))
+    """(opening, cluster) of the openings that are refusals; ``rows`` (opening, kind, unable)."""
+    per = stage.put(rows.groupBy("opening", "kind").agg(F.count("*").alias("n"), F.count_if("unable").alias("unable")))
+    clusters = stage.put(opening_clusters(per.select("opening").distinct(), stage))
     met = per.join(clusters, "opening").groupBy("cluster", "kind").agg(F.sum("n").alias("n"), F.sum("unable").alias("unable"))
     all_of = met.groupBy("cluster").agg(F.sum("n").alias("n"), F.sum("unable").alias("unable"), F.collect_list(F.when(F.col("kind") != "", F.col("n"))).alias("of_kinds"))
     unrelated = F.size(F.filter("of_kinds", lambda k: k * 20 >= F.col("n"))) >= 2
@@ -285,9 +298,9 @@ def defects(pairs: DataFrame, stage: Stage, model: LanguageModel) -> DataFrame:
     cut = stage.put(unfinished(rows, stage))
     cut = cut.withColumn("cut", F.lit("truncated"))
     sound = rows.where("defect IS NULL AND opening IS NOT NULL").join(cut, "id", "left")
-    told = kinds_of(sound.where("cut IS NULL").select("kind", "begins", "unable", "opening", "bands", "stem", "stem_bands"))
-    stems = told.where("stem IS NOT NULL").select(F.col("stem").alias("opening"), F.col("stem_bands").alias("bands"), "kind", "unable")
-    found = stage.put(refusals(told.select("opening", "bands", "kind", "unable").unionByName(stems), stage))
+    told = kinds_of(sound.where("cut IS NULL").select("kind", "begins", "unable", "opening", "stem"))
+    stems = told.where("stem IS NOT NULL").select(F.col("stem").alias("opening"), "kind", "unable")
+    found = stage.put(refusals(told.select("opening", "kind", "unable").unionByName(stems), stage))
     # Only answers with an opening meet the templates; all others pass by, so no key stands for many of them.
     # What breaks off is a refusal only if it is one as a whole.
     open_ = sound.select("id", "cut", "opening", F.when(F.col("cut").isNull(), F.coalesce("stem", F.concat(F.lit("\x00"), F.col("id").cast("string")))).alias("stem"))

@@ -1,7 +1,9 @@
+import random
+
 import pytest
 
 from graphloom.llm.languages import LanguageModel, train
-from graphloom.llm.pairs import band_keys, defects, opening, shingles
+from graphloom.llm.pairs import band_keys, defects, opening, opening_clusters, shingles
 from graphloom.staging import Stage
 
 SCHEMA = "pair_id bigint, question string, answer string, visual_anchor string, question_type string, id string, a string"
@@ -96,6 +98,35 @@ def test_bands_find_pairs_of_the_similarity():
     assert shingles(["a", "b"]) == ["a b"] and len(shingles(base)) == 9
 
 
+def test_every_alike_pair_of_openings_is_tied(spark):
+    """Against all pairs: alike openings beside which a smaller one that is like neither has the same runs; chains; openings inside others; words said again and again."""
+    base = [f"m{i}" for i in range(15)]
+    all_of = [[*base[:14], f"z{k}"] for k in range(3)] + [["zz", *base[:14]], base[1:14], base[2:], base[:13]]
+    for k in range(4, 8):
+        for i in range(12):
+            all_of += [["a" * (i + 1)] * k + base[k:], [*("a" + b for b in base[: 15 - k]), *base[:k]], [*base[:k], *(f"a{i}x{j}" for j in range(15 - k))]]
+    rng = random.Random(4)
+    for n in (2, 3, 5, 9, 10, 12, 13, 14, 15, 15, 15):
+        for letters in ("ab", "abc", "abcdefgh"):
+            word = [rng.choice(letters) for _ in range(n)]
+            all_of += [word, word[1:] + word[:1], word[:-1] + ["x"], ["y", *word[1:]], word[:-1], word[:-2], word[1:-1]]
+            cycle = ([*"abcdefghijkl"[: 3 + n % 9]] * 15)[:n]
+            all_of += [cycle[i:] + cycle[:i] for i in range(4)]
+    texts = sorted({" ".join(o) for o in all_of if o})
+    sets = [set(shingles(t.split(" "))) for t in texts]
+    cluster = list(range(len(texts)))
+    for _ in texts:
+        before = cluster[:]
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets[:i]):
+                if len(x & y) >= 0.8 * len(x | y) - 1e-9:
+                    cluster[i] = cluster[j] = min(cluster[i], cluster[j])
+        if cluster == before:
+            break
+    rows = spark.createDataFrame([(t, b) for t, b in zip(texts, band_keys([t.split(" ") for t in texts]).tolist())], "opening string, bands array<bigint>")
+    assert {r.opening: r.cluster for r in opening_clusters(rows, Stage(spark, "t")).collect()} == {t: texts[c] for t, c in zip(texts, cluster)}
+
+
 def test_opening():
     assert opening("Well, I do not know. Ask again.") == ["i", "do", "not", "know"]
     assert opening("") == [] and opening("我不能。") == ["我", "不", "能"]
