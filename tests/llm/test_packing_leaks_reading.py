@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -138,6 +139,35 @@ def test_no_labels_and_no_documents(spark):
     assert rd.score(d.limit(0), rd.train(d, labels)).count() == 0
 
 
+def test_all_labelled_documents_and_words_are_learned_from(spark):
+    """2,400 labelled documents and 17,001 words in three of them each: every token is counted, every word is known, against plain Python."""
+    words = [f"w{i}" for i in range(17_000)] * 3
+    texts = [" ".join(words[i::2400]) + " end." for i in range(2400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    levels = [1 + i % 5 for i in range(2400)]
+    model = rd.train(docs, spark.createDataFrame([(i, "r", k) for i, k in enumerate(levels)], "doc_id bigint, rater string, level int")).models
+    assert model.total.sum() == sum(len(t.split()) + 1 for t in texts) and model.size == 17_000 + 2 + 1
+    want = Counter()
+    for t, k in zip(texts, levels):
+        own = [0, 0, *(model.words.ids[w] for w in rd.tokens_of(t))]
+        want.update((a, b, w, k - 1) for a, b, w in zip(own, own[1:], own[2:]))
+    keys = model.words.key(*np.array([x[:3] for x in want]).T)
+    assert (model._count("abw", keys)[np.arange(len(want)), [x[3] for x in want]] == list(want.values())).all()
+    assert model.tables["abw"][1].sum() == model.total.sum()
+
+
+def test_regression_in_parts_is_that_of_the_whole(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(700, 6)) * [1, 2, 3, 4, 5, 0] + 7
+    y = np.clip(np.round(3 + (x[:, 0] - 7) + (x[:, 1] - 7) / 4 + rng.normal(size=700) / 2), 1, 5)
+    rows = spark.createDataFrame([(float(v), r.tolist()) for v, r in zip(y, x)], "level double, x array<double>").repartition(7)
+    mean, spread, weights, ends, steps = rd.fitted(rows)
+    assert np.allclose(mean, x.mean(0)) and np.allclose(spread, x.std(0) + 1e-9)
+    z = np.c_[np.clip((x - x.mean(0)) / (x.std(0) + 1e-9), -5, 5), np.ones(700)]
+    assert np.allclose(weights, np.linalg.solve(z.T @ z + 30 * np.eye(7), z.T @ y))
+    assert np.allclose(np.interp(z @ weights, ends, steps), np.interp(z @ weights, *rd.isotonic(z @ weights, y)))
+
+
 def test_isotonic_is_monotone_least_squares():
     x, y = rd.isotonic(np.array([3.0, 1.0, 2.0, 4.0]), np.array([2.0, 1.0, 3.0, 4.0]))
     assert list(x) == [1, 2, 3, 4] and list(y) == [1, 2.5, 2.5, 4]
