@@ -19,6 +19,7 @@ driver gets the words and trigram counts of one model at a time and sums.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -96,41 +97,98 @@ class Vocabulary:
         return out
 
 
+class _Index:
+    """The places of distinct keys, found by hash: open addressing, half of the slots or more are free."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.shift = np.uint64(64 - max(1, (2 * len(keys)).bit_length()))
+        self.slots = np.full(1 << 64 - int(self.shift), -1, np.int32)
+        rest, at = np.arange(len(keys), dtype=np.int32), self._slot(keys)
+        while len(rest):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = rest[free]  # one of those that want the same slot gets it
+            left = self.slots[at] != rest
+            rest, at = rest[left], (at[left] + 1) & (len(self.slots) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        x = keys.astype(np.uint64)
+        return ((x ^ x >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, the number of keys for unknown ones."""
+        out = np.full(len(keys), len(self.keys), np.int64)
+        if not len(self.keys):
+            return out
+        rest, at = np.arange(len(keys)), self._slot(keys)
+        while len(rest):
+            got = self.slots[at]
+            hit = (got >= 0) & (self.keys[got] == keys[rest])
+            out[rest[hit]] = got[hit]
+            left = (got >= 0) & ~hit
+            rest, at = rest[left], (at[left] + 1) & (len(self.slots) - 1)
+        return out
+
+
 class NgramModels:
-    """Interpolated trigram models of all levels with one table per order: key -> count in each level."""
+    """Interpolated trigram models of all levels: counts in each level of words, pairs of words and trigrams.
+
+    Pickled, it is its trigrams and their counts, compressed; all other tables are sums of them.
+    """
 
     def __init__(self, words: Vocabulary, model: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, counts: np.ndarray):
-        """``counts``: (trigrams, levels) of the trigrams a, b, w; all other tables are sums of them."""
+        """``counts``: (trigrams, levels) of the trigrams a, b, w."""
         self.words, self.model = words, model
         end = words.ids.get(".", 0)
         self.end = end if words.known[model][end] else -1
         self.size = int(words.known[model].sum()) + 1
-        self.total = np.maximum(counts.sum(0), 1).astype(np.float32)
-        keys = {"w": (w,), "b": (b,), "ab": (a, b), "bw": (b, w), "abw": (a, b, w)}
-        self.tables = {name: self._table(words.key(*k), counts) for name, k in keys.items()}
+        order = np.lexsort((w, b, a))
+        parts = [np.diff(a[order], prepend=0), b[order], w[order], *counts[order].T]
+        self.packed = [zlib.compress(np.ascontiguousarray(x).astype(np.int32 if i < 3 else np.int64).tobytes(), 1) for i, x in enumerate(parts)]
+        self._build(a, b, w, counts)
 
-    @staticmethod
-    def _table(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        own, sums = _sums(keys, counts)
-        return own, np.r_[sums, np.zeros((1, LEVELS))].astype(np.float32)  # the last row is for unknown keys
+    def _build(self, a: np.ndarray, b: np.ndarray, w: np.ndarray, counts: np.ndarray) -> None:
+        self.total = np.maximum(counts.sum(0), 1).astype(np.float32)
+        self.w, self.b = (np.stack([np.bincount(x, c, self.words.unknown + 1) for c in counts.T], axis=1).astype(np.float32) for x in (w, b))
+        key = self.words.key
+        first, second = _sums(key(a, b), counts), _sums(key(b, w), counts)
+        pairs = np.unique(np.r_[key(np.zeros(1, np.int64), np.zeros(1, np.int64)), first[0], second[0]])
+        self.pairs = _Index(pairs)
+        # The last row is for unknown pairs and trigrams.
+        self.ab, self.bw = (np.zeros((len(pairs) + 1, LEVELS), np.float32) for _ in "ab")
+        for table, (keys, sums) in ((self.ab, first), (self.bw, second)):
+            table[self.pairs.find(keys)] = sums
+        self.trigrams = _Index(self._trigram(self.pairs.find(key(a, b)), w))
+        self.abw = np.r_[counts, np.zeros((1, LEVELS))].astype(np.float32)
+
+    def _trigram(self, pair: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return pair * (self.words.unknown + 1) + w
+
+    def __getstate__(self) -> dict:
+        return {k: getattr(self, k) for k in ("words", "model", "end", "size", "packed")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        a, b, w, *counts = (np.frombuffer(zlib.decompress(x), np.int32 if i < 3 else np.int64).astype(np.int64) for i, x in enumerate(self.packed))
+        self._build(np.cumsum(a), b, w, np.stack(counts, axis=1).astype(float))
 
     def encode(self, documents: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         flat, starts, sizes = self.words.encode(documents)
         return self.words.of(self.model, flat), starts, sizes
 
-    def _count(self, name: str, keys: np.ndarray) -> np.ndarray:
-        own, counts = self.tables[name]
-        at = np.searchsorted(own, keys)
-        at[at == len(own)] = 0
-        return counts[np.where(own[at] == keys, at, len(own))] if len(own) else np.zeros((len(keys), LEVELS), np.float32)
-
     def surprisal(self, flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(tokens, levels): in nats, of the unigram and of the interpolated trigram models."""
-        b, a = _before(flat, starts)
-        key = self.words.key
-        p1 = (self._count("w", flat) + 0.5) / (self.total + 0.5 * self.size)
-        p2 = (self._count("bw", key(b, flat)) + 2 * p1) / (self._count("b", b) + 2)
-        p3 = (self._count("abw", key(a, b, flat)) + 2 * p2) / (self._count("ab", key(a, b)) + 2)
+        b, _ = _before(flat, starts)
+        own = self.pairs.find(self.words.key(b, flat))
+        # The pair before a word is the one that ends in the word before.
+        before = np.empty_like(own)
+        before[1:] = own[:-1]
+        before[starts[starts < len(own)]] = self.pairs.find(np.zeros(1, np.int64))[0]
+        whole = self.trigrams.find(self._trigram(before, flat))
+        take = lambda table, at: np.take(table, at, axis=0)
+        p1 = (take(self.w, flat) + 0.5) / (self.total + 0.5 * self.size)
+        p2 = (take(self.bw, own) + 2 * p1) / (take(self.b, b) + 2)
+        p3 = (take(self.abw, whole) + 2 * p2) / (take(self.ab, before) + 2)
         return -np.log(p1), -np.log(p3)
 
     def features(self, documents: list[list[str]]) -> np.ndarray:
@@ -269,8 +327,8 @@ def ngram_models(counts: DataFrame, words: Vocabulary, model: int) -> NgramModel
     return NgramModels(words, model, a, b, w, np.stack([found.column(3 + k).to_numpy() for k in range(LEVELS)], axis=1).astype(float))
 
 
-def features_of(rows: DataFrame, models: NgramModels) -> DataFrame:
-    """(level, x): the features of labelled documents."""
+def features_of(rows: DataFrame, models: NgramModels, stage: Stage) -> DataFrame:
+    """(level, x): the features of labelled documents, staged."""
     shared = rows.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +338,9 @@ def features_of(rows: DataFrame, models: NgramModels) -> DataFrame:
                 x = own.features([t.split(" ") for t in batch.column(2).to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column(1), pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), x.ravel())], names=["level", "x"])
 
-    return rows.mapInArrow(run, "level double, x array<double>")
+    out = stage.put(rows.mapInArrow(run, "level double, x array<double>"))
+    shared.destroy()
+    return out
 
 
 def fitted(rows: DataFrame) -> tuple[np.ndarray, ...]:
@@ -343,7 +403,7 @@ def train(docs: DataFrame, labels: DataFrame) -> ReadingModel:
         return ReadingModel(float("nan") if mean is None else mean)
     words = vocabulary(rows)
     counts = stage.put(trigrams(rows, words))
-    unseen = [stage.put(features_of(rows.where(F.col("fold") == k), ngram_models(counts, words, k))) for k in range(FOLDS)]
+    unseen = [features_of(rows.where(F.col("fold") == k), ngram_models(counts, words, k), stage) for k in range(FOLDS)]
     fit = fitted(unseen[0].unionByName(unseen[1]).unionByName(unseen[2]))
     return ReadingModel(mean, ngram_models(counts, words, FOLDS), fit)
 

@@ -1,3 +1,4 @@
+import pickle
 import random
 from collections import Counter
 
@@ -151,9 +152,11 @@ def test_all_labelled_documents_and_words_are_learned_from(spark):
     for t, k in zip(texts, levels):
         own = [0, 0, *(model.words.ids[w] for w in rd.tokens_of(t))]
         want.update((a, b, w, k - 1) for a, b, w in zip(own, own[1:], own[2:]))
-    keys = model.words.key(*np.array([x[:3] for x in want]).T)
-    assert (model._count("abw", keys)[np.arange(len(want)), [x[3] for x in want]] == list(want.values())).all()
-    assert model.tables["abw"][1].sum() == model.total.sum()
+    for own in (model, pickle.loads(pickle.dumps(model))):
+        a, b, w, level = np.array(list(want)).T
+        at = own.trigrams.find(own._trigram(own.pairs.find(own.words.key(a, b)), w))
+        assert (own.abw[at, level] == list(want.values())).all()
+        assert own.abw.sum() == own.ab.sum() == own.bw.sum() == own.b.sum() == own.w.sum() == own.total.sum()
 
 
 def test_regression_in_parts_is_that_of_the_whole(spark):
